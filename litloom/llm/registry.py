@@ -96,4 +96,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op8_chat_collapse": chat_collapse.ORACLE,
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+byte AS (SELECT doc_id, unnest(range(len(h) // 2)) AS p, unnest(regexp_extract_all(h, '..')) AS x, len(h) // 2 AS n FROM d),
+win AS (SELECT doc_id, unnest(range(len(h) // 2 - 99)) AS p, h FROM d WHERE len(h) >= 200),
+txt AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM win),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM txt) WHERE r > 1),
+mark AS (SELECT b.doc_id, b.p, x, coalesce(max(rep.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+         FROM byte b LEFT JOIN rep ON rep.doc_id = b.doc_id AND rep.p = b.p),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM mark),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone) AS t FROM edge GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
 }
