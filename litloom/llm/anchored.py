@@ -25,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litloom.llm.common import id_key, text_of
+
 U = np.uint64
 #: Odd multiplier of the rolling polynomial and its inverse modulo 2**64.
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 #: Bytes of text handled at once, and of packed strings held before they are sent.
-SLICE = 2 << 20
-HELD = 48 << 20
+SLICE = 1 << 19
+HELD = 24 << 20
 _POS_BITS = 25
 #: ASCII white space of the word contracts.
 _WHITE = np.zeros(256, bool)
@@ -322,7 +324,8 @@ def map_slice(docs: list[Doc], k: int, m: int, words: bool, frequent: FrequentSe
     marked = np.zeros(len(s), bool)
     marked[own[again]] = True
     covered = again if keep_first else again | marked
-    out = (ids[d[covered]], keys[d[covered]], pos[covered], (n + k - 1)[covered])
+    out = merged_runs(d[covered], pos[covered], (n + k - 1)[covered])
+    out = (ids[out[0]], keys[out[0]], out[1], out[2])
     send = np.flatnonzero(~twin)
     b = bucket(buf, aa[send], g[send])
     order = np.argsort(b, kind="stable")
@@ -337,6 +340,18 @@ def map_slice(docs: list[Doc], k: int, m: int, words: bool, frequent: FrequentSe
     return pieces, out
 
 
+def merged_runs(owner: np.ndarray, first: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joins runs that touch; given by owner and position, both ends ascending within an owner."""
+    if not len(owner):
+        return owner, first, units
+    end = first + units
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (first[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(owner)) - 1
+    return owner[at], first[at], end[last] - first[at]
+
+
 def by_gram(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Group numbers by the exact bytes of the anchor."""
     number: dict[bytes, int] = {}
@@ -420,7 +435,7 @@ _NAMES = ["bucket", "block", "doc", "key", "run"]
 def _verdicts(cols: tuple[np.ndarray, ...], width: int) -> pa.RecordBatch:
     """Rows with a negative bucket, dealt out by document."""
     doc, key, first, units = cols
-    return pa.RecordBatch.from_arrays([pa.array((-1 - np.abs(key % width)).astype(np.int32)), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(key), pa.array(packed_runs(first, units))], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array((-1 - np.abs(doc % width)).astype(np.int32)), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(key), pa.array(packed_runs(first, units))], _NAMES)
 
 
 def _blocks(held: dict[int, list[Piece]]) -> pa.RecordBatch:
@@ -460,7 +475,7 @@ def covered_runs(rows: DataFrame, k: int, m: int, words: bool, keep_first: bool,
         names = ["doc", "key", "run"]
 
         def decided() -> Iterator[pa.RecordBatch]:
-            for doc, key, first, units in reduce_bucket(held, k, words, keep_first, powers, group_by, 2 * slice_bytes):
+            for doc, key, first, units in reduce_bucket(held, k, words, keep_first, powers, group_by, slice_bytes):
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(packed_runs(first, units))], names)
 
         for b in batches:
@@ -482,6 +497,13 @@ def covered_runs(rows: DataFrame, k: int, m: int, words: bool, keep_first: bool,
     return runs.groupBy("doc", "key").agg(F.collect_list("run").alias("runs"))
 
 
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, key, text``: a row is known by id, and by the hash of its text too where ids repeat."""
+    ids = docs.groupBy(id_key(id_col)).count()
+    key = F.lit(0).cast("long") if ids.where("count > 1").isEmpty() else F.xxhash64(text_of(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), id_key(id_col).alias("doc"), key.alias("key"), text_of(text_col).cast("binary").alias("text"))
+
+
 def sampled_anchors(rows: DataFrame, k: int, m: int, words: bool, most_bytes: int, share: int) -> tuple[np.ndarray, np.ndarray]:
     """(frequent m-gram hashes, leading eight bytes of anchors) from a bounded sample of documents.
 

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.anchored import SLICE, U, cover, covered_runs, leading, sampled_anchors
-from litloom.llm.common import id_key, shuffle_width, text_of
+from litloom.llm.anchored import SLICE, U, cover, covered_runs, keyed_rows, leading, sampled_anchors
+from litloom.llm.common import shuffle_width
 
 LENGTH = 100
 PREFIX = 16
@@ -54,12 +54,12 @@ def multikey_groups(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, prefix: int = PREFIX, slice_bytes: int = SLICE) -> DataFrame:
-    """``(doc, key, runs)``: byte runs, ``first << 24 | bytes``, covered by strings that also start earlier."""
+def find_repeats(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX, slice_bytes: int = SLICE) -> DataFrame:
+    """``rows(doc, key, text)`` -> ``(doc, key, runs)``: byte runs, ``first << 24 | bytes``, covered by strings that also start earlier."""
     if prefix % 8 or not 8 <= prefix <= length:
         raise ValueError("prefix must be a multiple of 8, at most length")
-    rows = docs.select(id_key(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).cast("binary").alias("text"))
-    width = shuffle_width(docs.sparkSession)
+    width = shuffle_width(rows.sparkSession)
+    rows = rows.select("doc", "key", "text")
     frequent, lead = sampled_anchors(rows, length, prefix, False, SAMPLE_BYTES, FREQUENT)
     buckets = 2 * width
     splitters = np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else np.zeros(0, U)
@@ -78,9 +78,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same id and text is one document. Cuts may fall inside a character, hence binary. Other
     columns are ignored; an empty table gives no rows.
     """
-    runs = find_repeats(docs, id_col, text_col, length, slice_bytes=slice_bytes).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), "runs")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"), id_key(id_col).alias("__d"), F.xxhash64(text_of(text_col)).alias("__k"))
-    both = rows.join(runs, (F.col("__d") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left").select("doc_id", "text", "runs")
+    rows = keyed_rows(docs, id_col, text_col)
+    runs = find_repeats(rows, length, slice_bytes=slice_bytes)
+    both = rows.join(runs, ["doc", "key"], "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

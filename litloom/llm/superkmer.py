@@ -7,7 +7,6 @@ exactly. Every occurrence of a window that starts more than once is covered; cov
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.anchored import SLICE, U, cover, covered_runs, sampled_anchors
-from litloom.llm.common import id_key, shuffle_width, text_of
+from litloom.llm.anchored import SLICE, U, cover, covered_runs, keyed_rows, sampled_anchors
+from litloom.llm.common import shuffle_width
 
 WINDOW = 35
 MINIMISER = 4
@@ -25,10 +24,10 @@ SAMPLE_BYTES = 16 << 20
 FREQUENT = 16
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, slice_bytes: int = 2 * SLICE) -> DataFrame:
-    """``(doc, key, runs)``: covered word runs, ``first << 24 | words``, of rows that have any."""
-    rows = docs.select(id_key(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).cast("binary").alias("text"))
-    width = shuffle_width(docs.sparkSession)
+def find_repeats(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, slice_bytes: int = 2 * SLICE) -> DataFrame:
+    """``rows(doc, key, text)`` -> ``(doc, key, runs)``: covered word runs, ``first << 24 | words``, of rows that have any."""
+    width = shuffle_width(rows.sparkSession)
+    rows = rows.select("doc", "key", "text")
     frequent, _ = sampled_anchors(rows, window, minimiser, True, SAMPLE_BYTES, FREQUENT)
     n = U(2 * width)
 
@@ -45,9 +44,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with the same id and text is one document; the same text under another id is elsewhere.
     Other columns are ignored; an empty table gives no rows.
     """
-    runs = find_repeats(docs, id_col, text_col, window, slice_bytes=slice_bytes).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), "runs")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"), id_key(id_col).alias("__d"), F.xxhash64(text_of(text_col)).alias("__k"))
-    both = rows.join(runs, (F.col("__d") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left").select("doc_id", "text", "runs")
+    rows = keyed_rows(docs, id_col, text_col)
+    runs = find_repeats(rows, window, slice_bytes=slice_bytes)
+    both = rows.join(runs, ["doc", "key"], "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,6 +72,3 @@ def digest(docs: DataFrame) -> DataFrame:
     out = remove_repeats(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
