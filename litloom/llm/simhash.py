@@ -249,7 +249,8 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
                 rows, keys = golay.keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
 
-    keyed = distinct_fps.select("fp").mapInArrow(spread, "key long, fp long")
+    # Sixty keys a row: spread the few bytes of fingerprints over all tasks first.
+    keyed = distinct_fps.select("fp").repartition(width, "fp").mapInArrow(spread, "key long, fp long")
     found = written(keyed.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, block), "kind int, key long, a long, b long"), "links")
     edges = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("blk"))
