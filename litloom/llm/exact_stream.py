@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.llm.common import fresh_dir, is_dir, path_exists, text_of
+from litloom.llm.common import fresh_dir, is_dir, path_exists, text_of, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Fixed value: the class name of Spark's RocksDB state store.
@@ -59,8 +59,9 @@ def _state(spark: SparkSession, work: str, files_per_batch: int) -> DataFrame:
         state.writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{work}/state/batch={k}")).option("checkpointLocation", f"{work}/state-checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, old)
-    # Later batches only lower the least row and raise the count.
-    return _read(spark, f"{work}/state", kept).groupBy("digest").agg(F.min("least").alias("least"), F.max("n").alias("n"))
+    # Later batches only lower the least row and raise the count. Written, so that a join with the
+    # rows of a frequent digest has a shuffle on both sides and can be split.
+    return written(_read(spark, f"{work}/state", kept).groupBy("digest").agg(F.min("least").alias("least"), F.max("n").alias("n")), "state")
 
 
 def stream_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", work_dir: str | None = None, files_per_batch: int = 10_000) -> DataFrame:
