@@ -16,7 +16,7 @@ from litloom.llm.common import text_of
 #: Bits of each dimension; three dimensions make 4,096 cells.
 BITS = 4
 #: Rows aimed at in one sorted piece.
-SUB_CELL = 100_000
+SUB_CELL = 1_000
 
 
 def hilbert_index(point: list[int], bits: int) -> int:
