@@ -72,8 +72,10 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 WIDE = 20
 WIDE_SEGMENTS = WIDE * 64 // GOLAY_BITS
 PAIR_STEPS = (1, 3, 9, 20)
-#: Differing bits of the first 64 that a candidate may have, in small buckets and in large ones.
-FIRST_BITS = (20, 14)
+#: Differing bits of the first 128 that a candidate may have, in small buckets and in large ones.
+FIRST_BITS = (27, 23)
+#: Members up to which a bucket is small: all its pairs are compared and may become links.
+_SMALL_RUN = 64
 
 
 def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -188,36 +190,42 @@ def _within(reps: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps)
 
 
-def forest(fps: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges of a spanning forest of the link graph on ``fps``."""
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def forest(rows: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges (by first word) of a spanning forest of the link graph on distinct ``rows`` of words."""
     left, right = [], []
-    todo = np.arange(len(fps))
+    todo = np.arange(len(rows))
     while len(todo) > 1:
         front, todo = todo[:1], todo[1:]
         while len(front) and len(todo):
             at, front = front[0], front[1:]
-            hit = np.bitwise_count(fps[todo] ^ fps[at]) <= max_bits
+            hit = _apart(rows[todo], rows[at]) <= max_bits
             if hit.any():
                 new, todo = todo[hit], todo[~hit]
-                left.append(np.full(len(new), fps[at]))
-                right.append(fps[new])
+                left.append(np.full(len(new), rows[at, 0]))
+                right.append(rows[new, 0])
                 front = np.concatenate([front, new])
     return left, right
 
 
-def _run_edges(key: np.ndarray, fp: np.ndarray, max_bits: int, large_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _run_edges(key: np.ndarray, rows: np.ndarray, max_bits: int, large_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys: small runs by shifted comparison, large ones by search (``large_bits`` there)."""
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(cut)
     left, right = [], []
-    small = np.repeat((size > 1) & (size <= 64), size)
-    k, f = key[small], fp[small]
-    for d in range(1, int(size[(size > 1) & (size <= 64)].max(initial=1))):
-        hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= max_bits))
-        left.append(f[hit])
-        right.append(f[hit + d])
-    for i in np.flatnonzero(size > 64):
-        a, b = forest(np.unique(fp[cut[i] : cut[i + 1]]), large_bits)
+    some = (size > 1) & (size <= _SMALL_RUN)
+    k, f = key[np.repeat(some, size)], rows[np.repeat(some, size)]
+    for d in range(1, int(size[some].max(initial=1))):
+        same = np.flatnonzero(k[d:] == k[:-d])
+        hit = same[_apart(f[same + d], f[same]) <= max_bits]
+        left.append(f[hit, 0])
+        right.append(f[hit + d, 0])
+    for i in np.flatnonzero(size > _SMALL_RUN):
+        a, b = forest(np.unique(rows[cut[i] : cut[i + 1]], axis=0), large_bits)
         left += a
         right += b
     if not left:
@@ -225,45 +233,50 @@ def _run_edges(key: np.ndarray, fp: np.ndarray, max_bits: int, large_bits: int)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _bucket_stage(max_bits: int, block: int, large_bits: int):
-    """Reads rows sorted by key; gives edges (kind 0) and, of buckets above ``block``, their members (kind 1)."""
-    names = ["kind", "key", "a", "b"]
+def _bucket_stage(max_bits: int, block: int, large_bits: int, extra: int):
+    """Reads rows (key, fp, ``extra`` more words) sorted by key; gives edges (kind 0) and, of buckets above ``block``, their members (kind 1)."""
+    names = ["kind", "key", "a", "b", *[f"more{i}" for i in range(extra)]]
 
-    def out(kind: int, key, a, b) -> pa.RecordBatch:
+    def edges_out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.broadcast_to(np.asarray(key, np.int64), n)), pa.array(np.asarray(a).view(np.int64)), pa.array(np.asarray(b).view(np.int64))], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *[pa.nulls(n, pa.int64())] * extra], names)
+
+    def members_out(key: int, rows: np.ndarray, first: int) -> pa.RecordBatch:
+        n = len(rows)
+        words = [pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(1 + extra)]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.full(n, key, np.int64)), words[0], pa.array(np.arange(first, first + n) // block), *words[1:]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_k, held = np.zeros(0, np.int64), np.zeros((0, 1 + extra), np.uint64)
         spilling, number = None, 0
         for b in batches:
             k = np.concatenate([held_k, b.column(0).to_numpy()])
-            f = np.concatenate([held_f, b.column(1).to_numpy().view(np.uint64)])
+            f = np.concatenate([held, np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(1 + extra)], axis=1)])
             if spilling is not None and len(k):
                 own = int(np.searchsorted(k, spilling, "right"))
                 if own:
-                    yield out(1, spilling, f[:own], (np.arange(number, number + own) // block).astype(np.int64))
+                    yield members_out(spilling, f[:own], number)
                     number += own
                 k, f = k[own:], f[own:]
                 if len(k):
                     spilling = None
             if not len(k):
-                held_k, held_f = k, f
+                held_k, held = k, f
                 continue
             last = int(np.searchsorted(k, k[-1], "left"))
             if last:
-                a, c = _run_edges(k[:last], f[:last], max_bits, large_bits)
-                if len(a):
-                    yield out(0, 0, a, c)
-            held_k, held_f = k[last:], f[last:]
+                x, y = _run_edges(k[:last], f[:last], max_bits, large_bits)
+                if len(x):
+                    yield edges_out(x, y)
+            held_k, held = k[last:], f[last:]
             if len(held_k) > block:
                 spilling, number = int(held_k[0]), len(held_k)
-                yield out(1, spilling, held_f, (np.arange(number) // block).astype(np.int64))
-                held_k, held_f = held_k[:0], held_f[:0]
+                yield members_out(spilling, held, 0)
+                held_k, held = held_k[:0], held[:0]
         if len(held_k):
-            a, c = _run_edges(held_k, held_f, max_bits, large_bits)
-            if len(a):
-                yield out(0, 0, a, c)
+            x, y = _run_edges(held_k, held, max_bits, large_bits)
+            if len(x):
+                yield edges_out(x, y)
 
     return run
 
@@ -291,17 +304,18 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
     return _bucketed(distinct_fps.select("fp").repartition(width, "fp").mapInArrow(spread, "key long, fp long"), max_bits, max_bits, block)
 
 
-def _bucketed(keyed: DataFrame, max_bits: int, large_bits: int, block: int) -> DataFrame:
-    """``(key, fp)`` -> distinct ``(a, b)`` of fingerprints that meet in a bucket and are close enough."""
+def _bucketed(keyed: DataFrame, max_bits: int, large_bits: int, block: int, extra: int = 0) -> DataFrame:
+    """``(key, fp, more..)`` -> distinct ``(a, b)`` of fingerprints that meet in a bucket and are close enough."""
     width = shuffle_width(keyed.sparkSession)
-    schema = "kind int, key long, a long, b long"
-    found = written(keyed.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, block, large_bits), schema), "links")
+    more = [f"more{i}" for i in range(extra)]
+    schema = ", ".join(["kind int, key long, a long, b long", *[f"{m} long" for m in more]])
+    found = written(keyed.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, block, large_bits, extra), schema), "links")
     edges = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("blk"))
+    large = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("blk"), *more)
     count = large.groupBy("key").agg((F.max("blk") + 1).alias("n"))
-    pairs = large.join(count, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "blk")
-    pairs = pairs.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp")
-    rest = pairs.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, 1 << 40, large_bits), schema)
+    pairs = large.join(count, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "blk", *more)
+    pairs = pairs.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp", *more)
+    rest = pairs.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, 1 << 40, large_bits, extra), schema)
     return edges.unionByName(rest.select("a", "b")).distinct()
 
 
@@ -337,7 +351,8 @@ def wide_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
             wide = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), "<u8").reshape(-1, WIDE)
             for at in range(0, len(fps), 2048):
                 rows, keys = wide_keys(golay, wide[at : at + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 2048][rows])], ["key", "fp"])
+                second = np.ascontiguousarray(wide[at : at + 2048, 1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 2048][rows]), pa.array(second[rows])], ["key", "fp", "more0"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,8 +360,8 @@ def wide_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
             near = np.bitwise_count(x ^ y).sum(axis=1) <= most
             yield b.select(["a", "b"]).filter(pa.array(near))
 
-    keyed = nodes.select("fp", "wide").repartition(width, "fp").mapInArrow(spread, "key long, fp long")
-    met = _bucketed(keyed, *FIRST_BITS, block)
+    keyed = nodes.select("fp", "wide").repartition(width, "fp").mapInArrow(spread, "key long, fp long, more0 long")
+    met = _bucketed(keyed, *FIRST_BITS, block, 1)
     left, right = (nodes.select(F.col("fp").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
     return met.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
@@ -384,7 +399,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges)
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    owner = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Written, so that the join below shuffles both sides and a large component can be split.
+    owner = written(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "owners")
     of_fp = member.join(owner, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
