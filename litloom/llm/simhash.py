@@ -21,7 +21,9 @@ given shingle similarity asks for, 0.8 as a rule: a fingerprint of 1,280 bits is
 Golay words, each decoded to its nearest codeword, and pairs of codeword indices are the keys. With 15
 of 100 bits in error, as at similarity 0.8, some key agrees in about nine of ten cases, nearly
 always from 0.85 on; candidates are verified on all 1,280 bits (the estimate of the similarity has
-a standard error near 0.012).
+a standard error near 0.012). A document of a large family meets it in many buckets; in those
+of more than four members it is linked to its nearest only, so candidates grow with the
+family's size and not with its square.
 """
 
 from __future__ import annotations
@@ -72,10 +74,10 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 WIDE = 20
 WIDE_SEGMENTS = WIDE * 64 // GOLAY_BITS
 PAIR_STEPS = (1, 3, 9, 20)
-#: Differing bits of the first 128 that a candidate may have, in small buckets and in large ones.
-FIRST_BITS = (27, 23)
-#: Members up to which a bucket is small: all its pairs are compared and may become links.
-_SMALL_RUN = 64
+#: Differing bits of the first 128 that a candidate may have.
+FIRST_BITS = 27
+#: Members up to which all close pairs of a bucket become links, of exact fingerprints and of screened candidates.
+_SMALL_RUN, _SMALL_SCREENED = 64, 4
 
 
 def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -212,28 +214,54 @@ def forest(rows: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.n
     return left, right
 
 
-def _run_edges(key: np.ndarray, rows: np.ndarray, max_bits: int, large_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys: small runs by shifted comparison, large ones by search (``large_bits`` there)."""
+def _nearest(rows: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equally large runs (run, member, word), each member and its nearest other, if close enough."""
+    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    runs, n, _ = rows.shape
+    at_once = max(1, (1 << 20) // n)
+    per_run = max(1, at_once // n)
+    for r in range(0, runs, per_run):
+        some = rows[r : r + per_run]
+        for m in range(0, n, at_once):
+            d = _apart(some[:, m : m + at_once, None], some[:, None])
+            i = np.arange(d.shape[1])
+            d[:, i, m + i] = 1 << 30
+            k, j = np.nonzero(d.min(axis=2) <= max_bits)
+            left.append(some[k, m + j, 0])
+            right.append(some[k, d.argmin(axis=2)[k, j], 0])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _run_edges(key: np.ndarray, rows: np.ndarray, max_bits: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys. Small runs: all pairs that are close enough. Large ones: if the
+    closeness is the final one (``exact``), a spanning forest; else each member's nearest."""
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(cut)
+    small = _SMALL_RUN if exact else _SMALL_SCREENED
     left, right = [], []
-    some = (size > 1) & (size <= _SMALL_RUN)
+    some = (size > 1) & (size <= small)
     k, f = key[np.repeat(some, size)], rows[np.repeat(some, size)]
     for d in range(1, int(size[some].max(initial=1))):
         same = np.flatnonzero(k[d:] == k[:-d])
         hit = same[_apart(f[same + d], f[same]) <= max_bits]
         left.append(f[hit, 0])
         right.append(f[hit + d, 0])
-    for i in np.flatnonzero(size > _SMALL_RUN):
-        a, b = forest(np.unique(rows[cut[i] : cut[i + 1]], axis=0), large_bits)
-        left += a
-        right += b
+    if exact:
+        for i in np.flatnonzero(size > small):
+            a, b = forest(np.unique(rows[cut[i] : cut[i + 1]], axis=0), max_bits)
+            left += a
+            right += b
+    else:
+        for n in np.unique(size[size > small]).tolist():
+            a, b = _nearest(rows[cut[np.flatnonzero(size == n)][:, None] + np.arange(n)], max_bits)
+            left.append(np.minimum(a, b))
+            right.append(np.maximum(a, b))
     if not left:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _bucket_stage(max_bits: int, block: int, large_bits: int, extra: int):
+def _bucket_stage(max_bits: int, block: int, exact: bool, extra: int):
     """Reads rows (key, fp, ``extra`` more words) sorted by key; gives edges (kind 0) and, of buckets above ``block``, their members (kind 1)."""
     names = ["kind", "key", "a", "b", *[f"more{i}" for i in range(extra)]]
 
@@ -265,7 +293,7 @@ def _bucket_stage(max_bits: int, block: int, large_bits: int, extra: int):
                 continue
             last = int(np.searchsorted(k, k[-1], "left"))
             if last:
-                x, y = _run_edges(k[:last], f[:last], max_bits, large_bits)
+                x, y = _run_edges(k[:last], f[:last], max_bits, exact)
                 if len(x):
                     yield edges_out(x, y)
             held_k, held = k[last:], f[last:]
@@ -274,7 +302,7 @@ def _bucket_stage(max_bits: int, block: int, large_bits: int, extra: int):
                 yield members_out(spilling, held, 0)
                 held_k, held = held_k[:0], held[:0]
         if len(held_k):
-            x, y = _run_edges(held_k, held, max_bits, large_bits)
+            x, y = _run_edges(held_k, held, max_bits, exact)
             if len(x):
                 yield edges_out(x, y)
 
@@ -301,21 +329,21 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
 
     # Sixty keys a row: spread the few bytes of fingerprints over all tasks first.
-    return _bucketed(distinct_fps.select("fp").repartition(width, "fp").mapInArrow(spread, "key long, fp long"), max_bits, max_bits, block)
+    return _bucketed(distinct_fps.select("fp").repartition(width, "fp").mapInArrow(spread, "key long, fp long"), max_bits, block)
 
 
-def _bucketed(keyed: DataFrame, max_bits: int, large_bits: int, block: int, extra: int = 0) -> DataFrame:
+def _bucketed(keyed: DataFrame, max_bits: int, block: int, exact: bool = True, extra: int = 0) -> DataFrame:
     """``(key, fp, more..)`` -> distinct ``(a, b)`` of fingerprints that meet in a bucket and are close enough."""
     width = shuffle_width(keyed.sparkSession)
     more = [f"more{i}" for i in range(extra)]
     schema = ", ".join(["kind int, key long, a long, b long", *[f"{m} long" for m in more]])
-    found = written(keyed.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, block, large_bits, extra), schema), "links")
+    found = written(keyed.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, block, exact, extra), schema), "links")
     edges = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("blk"), *more)
     count = large.groupBy("key").agg((F.max("blk") + 1).alias("n"))
     pairs = large.join(count, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "blk", *more)
     pairs = pairs.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp", *more)
-    rest = pairs.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, 1 << 40, large_bits, extra), schema)
+    rest = pairs.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, 1 << 40, exact, extra), schema)
     return edges.unionByName(rest.select("a", "b")).distinct()
 
 
@@ -361,7 +389,7 @@ def wide_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
             yield b.select(["a", "b"]).filter(pa.array(near))
 
     keyed = nodes.select("fp", "wide").repartition(width, "fp").mapInArrow(spread, "key long, fp long, more0 long")
-    met = _bucketed(keyed, *FIRST_BITS, block, 1)
+    met = _bucketed(keyed, FIRST_BITS, block, False, 1)
     left, right = (nodes.select(F.col("fp").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
     return met.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
