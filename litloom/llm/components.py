@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.common import fresh_dir, remove
+from litloom.llm.common import fresh_dir, remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     table are fine; null ends are dropped. Raises if not converged in ``max_rounds``.
     """
     spark = edges.sparkSession
-    now = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    # Written first: a round reads the edges three times.
+    now = written(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
     seen, last_path = None, None
     for _ in range(max_rounds):
         step = _small_star(_large_star(now).distinct()).distinct()
