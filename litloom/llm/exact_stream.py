@@ -22,7 +22,8 @@ from litloom.llm.common import fresh_dir, is_dir, path_exists, text_of, written
 WHITE = r"[\x20\x09-\x0D]+"
 #: Fixed value: the class name of Spark's RocksDB state store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stateful stream. Without fallocate a store takes the disk its keys need, not 4 MB at least.
+_STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text_col: str) -> Column:
@@ -53,12 +54,14 @@ def _state(spark: SparkSession, work: str, files_per_batch: int) -> DataFrame:
         return spark.createDataFrame([], kept)
     stream = spark.readStream.schema("id long, file string, row long, digest string").option("maxFilesPerTrigger", files_per_batch).parquet(f"{work}/locators")
     state = stream.groupBy("digest").agg(F.min(_order()).alias("least"), F.count("*").alias("n"))
-    old = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, STATE_STORE)
+    old = {k: spark.conf.get(k, None) for k in _STATE_CONF}
+    for k, v in _STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         state.writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{work}/state/batch={k}")).option("checkpointLocation", f"{work}/state-checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # Later batches only lower the least row and raise the count. Written, so that a join with the
     # rows of a frequent digest has a shuffle on both sides and can be split.
     return written(_read(spark, f"{work}/state", kept).groupBy("digest").agg(F.min("least").alias("least"), F.max("n").alias("n")), "state")
