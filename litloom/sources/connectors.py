@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,6 @@ def search_stubs(responses: DataFrame, limit: int = 100) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]]) -> DataFrame:
     """``path, pages`` of binary files through a page reader (``bytes -> list of page texts``), one Arrow batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def pages(content: pd.Series) -> pd.Series:
         return content.map(lambda b: list(reader(b))[:MAX_PAGES])
