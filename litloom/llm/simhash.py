@@ -19,9 +19,9 @@ yields a spanning forest, never all its pairs.
 Four of 64 bits is a narrow radius (about 0.95 similarity). ``similar_documents`` finds what a
 given shingle similarity asks for, 0.8 as a rule: a fingerprint of 1,280 bits is read as 55
 Golay words, each decoded to its nearest codeword, and pairs of codeword indices are the keys. With 15
-of 100 bits in error, as at similarity 0.8, some key agrees in about nine of ten cases, nearly
-always from 0.85 on; candidates are verified on all 1,280 bits (the estimate of the similarity has
-a standard error near 0.012). A document of a large family meets it in many buckets; in those
+of 100 bits in error, as at similarity 0.8, some key agrees in about 19 of 20 cases, nearly
+always from 0.85 on; candidates are estimated on all 1,280 bits (a standard error near 0.022), and
+those within ``BAND`` standard errors of the limit are decided by their exact shingle sets. A document of a large family meets it in many buckets; in those
 of more than four members it is linked to its nearest only, so candidates grow with the
 family's size and not with its square.
 """
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litloom.llm.anchored import mix
-from litloom.llm.common import shuffle_width, text_of, written
+from litloom.llm.common import NULL_ID, id_key, shuffle_width, text_of, written
 from litloom.llm.components import components
 
 #: Generator polynomial of the binary Golay code, its length and check bits.
@@ -73,33 +73,41 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 #: Words of 64 bits in a wide fingerprint, Golay words in it, and which of these are paired (steps around the circle).
 WIDE = 20
 WIDE_SEGMENTS = WIDE * 64 // GOLAY_BITS
-PAIR_STEPS = (1, 3, 9, 20)
+PAIR_STEPS = (1, 3, 6, 9, 14, 20)
 #: Differing bits of the first 128 that a candidate may have.
-FIRST_BITS = 27
+FIRST_BITS = 30
+#: Standard errors either side of the limit within which the estimate does not decide.
+BAND = 2.0
 #: Members up to which all close pairs of a bucket become links, of exact fingerprints and of screened candidates.
 _SMALL_RUN, _SMALL_SCREENED = 64, 4
 
 
-def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """Majority bits of ``WIDE`` hashes a shingle (the first is its XXH64, the others mixed from it). No words: zeros."""
+def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, sorted. No words: none."""
     w = text.lower().split()
-    out = np.zeros(WIDE, np.uint64)
     if not w:
-        return out
+        return np.zeros(0, np.int64)
     line = b" ".join(w)
     size = np.array([len(x) + 1 for x in w])
     ends = np.cumsum(size)
     n = max(1, len(w) - words + 1)
     starts, ends = (ends - size)[:n].tolist(), (ends[min(words, len(w)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+
+
+def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Majority bits of ``WIDE`` hashes a distinct shingle (the first is its XXH64, the others mixed from it). No words: zeros."""
+    h = shingle_set(text, words, seed).view(np.uint64)
+    if not len(h):
+        return np.zeros(WIDE, np.uint64)
     ones = np.zeros(WIDE * 64, np.int64)
     salt = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, n, 255):
+    for at in range(0, len(h), 255):
         part = h[at : at + 255, None] + salt
         part[:, 1:] = mix(part[:, 1:])
         ones += np.add.reduce(np.unpackbits(part.astype(">u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > n).view(">u8").astype(np.uint64)
+    return np.packbits(ones * 2 > len(h)).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
@@ -366,11 +374,11 @@ def differing_share(similarity: float) -> float:
 
 
 def wide_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """``nodes(fp, wide)`` -> ``(a, b)`` verified on the whole wide fingerprints."""
+    """``nodes(fp, wide)`` -> ``(a, b, sure)`` by the estimate: ``sure`` above the limit by ``BAND`` standard errors, else near it."""
     width = shuffle_width(nodes.sparkSession)
-    # One standard error is allowed for: the estimate should not lose pairs at the limit itself.
     share = differing_share(similarity)
-    most = int(WIDE * 64 * share + np.sqrt(WIDE * 64 * share * (1 - share)))
+    mean, error = WIDE * 64 * share, BAND * np.sqrt(WIDE * 64 * share * (1 - share))
+    least, most = int(mean - error), int(mean + error)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
@@ -385,13 +393,36 @@ def wide_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(i)), "<u8").reshape(-1, WIDE) for i in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(axis=1) <= most
-            yield b.select(["a", "b"]).filter(pa.array(near))
+            apart = np.bitwise_count(x ^ y).sum(axis=1)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart <= least)], ["a", "b", "sure"])
+            yield out.filter(pa.array(apart <= most))
 
     keyed = nodes.select("fp", "wide").repartition(width, "fp").mapInArrow(spread, "key long, fp long, more0 long")
     met = _bucketed(keyed, FIRST_BITS, block, False, 1)
     left, right = (nodes.select(F.col("fp").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
-    return met.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
+    return met.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long, sure boolean")
+
+
+def _exact_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``near(a, b)`` whose shingle sets, of one text a node, have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                sets = [shingle_set(t.as_py(), words) for t in part.column(1)]
+                first = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(sets)))], ["fp", "shingles"])
+
+    asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    named = nodes.join(asked, "fp").select("fp", F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("text_key").alias("__key"))
+    texts = docs.select(id_key(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__key"), text_of(text_col).cast("binary").alias("t"))
+    sets = texts.join(named, ["__id", "__key"]).select("fp", "t").mapInArrow(run, "fp long, shingles array<long>")
+    # Written: read for both ends. A row repeated with its id and text has repeated sets, all alike.
+    sets = written(sets.dropDuplicates(["fp"]), "shingles")
+    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return near.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -407,9 +438,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).cast("binary").alias("t"))
     rows = written(rows.mapInArrow(run, "doc_id long, text_key long, fp long, wide binary"), "wide")
-    # Fingerprints whose first 64 bits agree stand as one node, with the smallest of their wide forms.
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("wide").alias("wide")), "nodes")
-    return _labelled(rows, nodes, wide_links(nodes, similarity))
+    # Fingerprints whose first 64 bits agree stand as one node, with the smallest of their wide forms and a row that has it.
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("wide", "doc_id", "text_key")).alias("one"))
+    nodes = written(nodes.select("fp", "least_id", "one.*"), "nodes")
+    found = written(wide_links(nodes, similarity), "estimated")
+    near = _exact_links(docs, nodes, found.where("not sure").select("a", "b"), id_col, text_col, words, similarity)
+    return _labelled(rows, nodes, found.where("sure").select("a", "b").unionByName(near))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
