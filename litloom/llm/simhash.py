@@ -19,7 +19,7 @@ yields a spanning forest, never all its pairs.
 Four of 64 bits is a narrow radius (about 0.95 similarity). ``similar_documents`` finds what a
 given shingle similarity asks for, 0.8 as a rule: a fingerprint of 1,280 bits is read as 55
 Golay words, each decoded to its nearest codeword, and pairs of codeword indices are the keys. With 15
-of 100 bits in error, as at similarity 0.8, some key agrees in about 19 of 20 cases, nearly
+of 100 bits in error, as at similarity 0.8, some key agrees in about nine of ten cases, nearly
 always from 0.85 on; candidates are estimated on all 1,280 bits (a standard error near 0.022), and
 those within ``BAND`` standard errors of the limit are decided by their exact shingle sets. A document of a large family meets it in many buckets; in those
 of more than four members it is linked to its nearest only, so candidates grow with the
@@ -73,9 +73,9 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 #: Words of 64 bits in a wide fingerprint, Golay words in it, and which of these are paired (steps around the circle).
 WIDE = 20
 WIDE_SEGMENTS = WIDE * 64 // GOLAY_BITS
-PAIR_STEPS = (1, 3, 6, 9, 14, 20)
+PAIR_STEPS = (1, 3, 9, 20)
 #: Differing bits of the first 128 that a candidate may have.
-FIRST_BITS = 30
+FIRST_BITS = 27
 #: Standard errors either side of the limit within which the estimate does not decide.
 BAND = 2.0
 #: Members up to which all close pairs of a bucket become links, of exact fingerprints and of screened candidates.
