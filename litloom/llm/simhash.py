@@ -16,18 +16,18 @@ Each distinct fingerprint gives about 60 keys of 25 to 37 bits; random pairs mee
 with a chance near 1e-6. Members of a bucket are verified by bit count, and a bucket
 yields a spanning forest, never all its pairs.
 
-Four of 64 bits is a narrow radius (about 0.95 similarity). ``similar_documents`` finds what a
-given shingle similarity asks for, 0.8 as a rule: a fingerprint of 1,280 bits is read as 55
-Golay words, each decoded to its nearest codeword, and pairs of codeword indices are the keys. With 15
-of 100 bits in error, as at similarity 0.8, some key agrees in about nine of ten cases, nearly
-always from 0.85 on; candidates are estimated on all 1,280 bits (a standard error near 0.022), and
-those within ``BAND`` standard errors of the limit are decided by their exact shingle sets. A document of a large family meets it in many buckets; in those
-of more than four members it is linked to its nearest only, so candidates grow with the
-family's size and not with its square.
+Four of 64 bits is a narrow radius (about 0.95 similarity). ``similar_documents`` finds exactly
+the components of all pairs at a given shingle similarity t, 0.8 as a rule, whatever the sizes.
+Shingles have one fixed order, rare ones first. Two sets of similarity t or more share one of the
+first n - ceil(t n) + 1 shingles of each (the prefix filter of set joins); these are the keys. The
+sizes and the places in the order bound the overlap without loss, and what remains is compared
+by whole sets. So that a large family gives no square of rows, members of a bucket are first compared
+with ``LEADERS`` of them; then, in buckets that still hold several components, every pair across them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.anchored import mix
 from litloom.llm.common import NULL_ID, id_key, shuffle_width, text_of, written
 from litloom.llm.components import components
 
@@ -70,16 +69,15 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-#: Words of 64 bits in a wide fingerprint, Golay words in it, and which of these are paired (steps around the circle).
-WIDE = 20
-WIDE_SEGMENTS = WIDE * 64 // GOLAY_BITS
-PAIR_STEPS = (1, 3, 9, 20)
-#: Differing bits of the first 128 that a candidate may have.
-FIRST_BITS = 27
-#: Standard errors either side of the limit within which the estimate does not decide.
-BAND = 2.0
-#: Members up to which all close pairs of a bucket become links, of exact fingerprints and of screened candidates.
-_SMALL_RUN, _SMALL_SCREENED = 64, 4
+#: Members up to which all close pairs of a bucket become links.
+_SMALL_RUN = 64
+#: Members of a bucket that all others are compared with first.
+LEADERS = 4
+#: Documents sampled for the order of shingles (that many, and a tenth at least, so that buckets of unranked shingles
+#: do not grow with the table), and ranked shingles at most. Results do not depend on them.
+SAMPLE, SHARE, RANKED = 4_000, 0.1, 100_000
+#: Bits of the bitmap that tells which texts are read again (1 MB).
+CLASSES = 1 << 23
 
 
 def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -96,20 +94,6 @@ def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
 
 
-def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """Majority bits of ``WIDE`` hashes a distinct shingle (the first is its XXH64, the others mixed from it). No words: zeros."""
-    h = shingle_set(text, words, seed).view(np.uint64)
-    if not len(h):
-        return np.zeros(WIDE, np.uint64)
-    ones = np.zeros(WIDE * 64, np.int64)
-    salt = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(h), 255):
-        part = h[at : at + 255, None] + salt
-        part[:, 1:] = mix(part[:, 1:])
-        ones += np.add.reduce(np.unpackbits(part.astype(">u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(h)).view(">u8").astype(np.uint64)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, text_key, fp)`` for every row; ``text_key`` is the XXH64 of the text, to find the row again."""
 
@@ -222,72 +206,45 @@ def forest(rows: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.n
     return left, right
 
 
-def _nearest(rows: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equally large runs (run, member, word), each member and its nearest other, if close enough."""
-    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    runs, n, _ = rows.shape
-    at_once = max(1, (1 << 20) // n)
-    per_run = max(1, at_once // n)
-    for r in range(0, runs, per_run):
-        some = rows[r : r + per_run]
-        for m in range(0, n, at_once):
-            d = _apart(some[:, m : m + at_once, None], some[:, None])
-            i = np.arange(d.shape[1])
-            d[:, i, m + i] = 1 << 30
-            k, j = np.nonzero(d.min(axis=2) <= max_bits)
-            left.append(some[k, m + j, 0])
-            right.append(some[k, d.argmin(axis=2)[k, j], 0])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _run_edges(key: np.ndarray, rows: np.ndarray, max_bits: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys. Small runs: all pairs that are close enough. Large ones: if the
-    closeness is the final one (``exact``), a spanning forest; else each member's nearest."""
+def _run_edges(key: np.ndarray, rows: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys: in small runs all pairs that are close enough, in large ones a spanning forest."""
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(cut)
-    small = _SMALL_RUN if exact else _SMALL_SCREENED
     left, right = [], []
-    some = (size > 1) & (size <= small)
+    some = (size > 1) & (size <= _SMALL_RUN)
     k, f = key[np.repeat(some, size)], rows[np.repeat(some, size)]
     for d in range(1, int(size[some].max(initial=1))):
         same = np.flatnonzero(k[d:] == k[:-d])
         hit = same[_apart(f[same + d], f[same]) <= max_bits]
         left.append(f[hit, 0])
         right.append(f[hit + d, 0])
-    if exact:
-        for i in np.flatnonzero(size > small):
-            a, b = forest(np.unique(rows[cut[i] : cut[i + 1]], axis=0), max_bits)
-            left += a
-            right += b
-    else:
-        for n in np.unique(size[size > small]).tolist():
-            a, b = _nearest(rows[cut[np.flatnonzero(size == n)][:, None] + np.arange(n)], max_bits)
-            left.append(np.minimum(a, b))
-            right.append(np.maximum(a, b))
+    for i in np.flatnonzero(size > _SMALL_RUN):
+        a, b = forest(np.unique(rows[cut[i] : cut[i + 1]], axis=0), max_bits)
+        left += a
+        right += b
     if not left:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _bucket_stage(max_bits: int, block: int, exact: bool, extra: int):
-    """Reads rows (key, fp, ``extra`` more words) sorted by key; gives edges (kind 0) and, of buckets above ``block``, their members (kind 1)."""
-    names = ["kind", "key", "a", "b", *[f"more{i}" for i in range(extra)]]
+def _bucket_stage(max_bits: int, block: int):
+    """Reads rows (key, fp) sorted by key; gives edges (kind 0) and, of buckets above ``block``, their members (kind 1)."""
+    names = ["kind", "key", "a", "b"]
 
     def edges_out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *[pa.nulls(n, pa.int64())] * extra], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names)
 
     def members_out(key: int, rows: np.ndarray, first: int) -> pa.RecordBatch:
         n = len(rows)
-        words = [pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(1 + extra)]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.full(n, key, np.int64)), words[0], pa.array(np.arange(first, first + n) // block), *words[1:]], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.full(n, key, np.int64)), pa.array(rows[:, 0].view(np.int64)), pa.array(np.arange(first, first + n) // block)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held = np.zeros(0, np.int64), np.zeros((0, 1 + extra), np.uint64)
+        held_k, held = np.zeros(0, np.int64), np.zeros((0, 1), np.uint64)
         spilling, number = None, 0
         for b in batches:
             k = np.concatenate([held_k, b.column(0).to_numpy()])
-            f = np.concatenate([held, np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(1 + extra)], axis=1)])
+            f = np.concatenate([held, b.column(1).to_numpy().view(np.uint64)[:, None]])
             if spilling is not None and len(k):
                 own = int(np.searchsorted(k, spilling, "right"))
                 if own:
@@ -301,7 +258,7 @@ def _bucket_stage(max_bits: int, block: int, exact: bool, extra: int):
                 continue
             last = int(np.searchsorted(k, k[-1], "left"))
             if last:
-                x, y = _run_edges(k[:last], f[:last], max_bits, exact)
+                x, y = _run_edges(k[:last], f[:last], max_bits)
                 if len(x):
                     yield edges_out(x, y)
             held_k, held = k[last:], f[last:]
@@ -310,7 +267,7 @@ def _bucket_stage(max_bits: int, block: int, exact: bool, extra: int):
                 yield members_out(spilling, held, 0)
                 held_k, held = held_k[:0], held[:0]
         if len(held_k):
-            x, y = _run_edges(held_k, held, max_bits, exact)
+            x, y = _run_edges(held_k, held, max_bits)
             if len(x):
                 yield edges_out(x, y)
 
@@ -340,71 +297,215 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
     return _bucketed(distinct_fps.select("fp").repartition(width, "fp").mapInArrow(spread, "key long, fp long"), max_bits, block)
 
 
-def _bucketed(keyed: DataFrame, max_bits: int, block: int, exact: bool = True, extra: int = 0) -> DataFrame:
-    """``(key, fp, more..)`` -> distinct ``(a, b)`` of fingerprints that meet in a bucket and are close enough."""
+def _bucketed(keyed: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """``(key, fp)`` -> distinct ``(a, b)`` of fingerprints that meet in a bucket and are close enough."""
     width = shuffle_width(keyed.sparkSession)
-    more = [f"more{i}" for i in range(extra)]
-    schema = ", ".join(["kind int, key long, a long, b long", *[f"{m} long" for m in more]])
-    found = written(keyed.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, block, exact, extra), schema), "links")
+    schema = "kind int, key long, a long, b long"
+    found = written(keyed.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, block), schema), "links")
     edges = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("blk"), *more)
+    large = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("blk"))
     count = large.groupBy("key").agg((F.max("blk") + 1).alias("n"))
-    pairs = large.join(count, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "blk", *more)
-    pairs = pairs.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp", *more)
-    rest = pairs.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, 1 << 40, exact, extra), schema)
+    pairs = large.join(count, "key").select("key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "blk")
+    pairs = pairs.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp")
+    rest = pairs.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_stage(max_bits, 1 << 40), schema)
     return edges.unionByName(rest.select("a", "b")).distinct()
 
 
-def wide_keys(golay: Golay, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row number, key): pairs of codeword indices of the Golay words of wide fingerprints."""
-    bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), -1), axis=1)[:, : WIDE_SEGMENTS * GOLAY_BITS]
-    place = 1 << np.arange(GOLAY_BITS - 1, -1, -1)
-    index = golay.decode(bits.reshape(len(wide), WIDE_SEGMENTS, GOLAY_BITS) @ place)
-    keys = []
-    for k, step in enumerate(PAIR_STEPS):
-        at = np.arange(WIDE_SEGMENTS) + np.int64(k * WIDE_SEGMENTS)
-        keys.append((at << 24) | (index << 12) | np.roll(index, -step, axis=1))
-    keys = np.concatenate(keys, axis=1)
-    return np.repeat(np.arange(len(wide)), keys.shape[1]), keys.ravel()
+def shingle_ranks(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles frequent in a sample, sorted, and their places in the order (from 1; all others count as 0)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words))], ["shingle"])
 
-def differing_share(similarity: float) -> float:
-    """Share of differing bits expected at a Jaccard similarity of shingle sets (of like size)."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    some = docs.select(text_of(text_col).cast("binary").alias("t"))
+    some = some.sample(min(1.0, max(SHARE, SAMPLE / max(1, some.count()))), 7).mapInArrow(run, "shingle long")
+    top = some.groupBy("shingle").count().where("count >= 3").orderBy(F.desc("count"), "shingle").limit(RANKED).toArrow()
+    known = top.column("shingle").to_numpy().astype(np.int64)
+    order = np.argsort(known)
+    return known[order], (len(known) - np.arange(len(known)))[order]
 
 
-def wide_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """``nodes(fp, wide)`` -> ``(a, b, sure)`` by the estimate: ``sure`` above the limit by ``BAND`` standard errors, else near it."""
-    width = shuffle_width(nodes.sparkSession)
-    share = differing_share(similarity)
-    mean, error = WIDE * 64 * share, BAND * np.sqrt(WIDE * 64 * share * (1 - share))
-    least, most = int(mean - error), int(mean + error)
+def prefix_length(n: int, similarity: float) -> int:
+    """First shingles of a set of ``n``, of which one is shared with every set of the similarity."""
+    return min(n, n - math.ceil(similarity * n - 1e-9) + 1)
+
+
+def prefix(shingles: np.ndarray, ranks: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in the order of ``ranks``, then of hashes."""
+    known, rank = ranks
+    own = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        own = np.where(known[at] == shingles, rank[at], 0)
+    return shingles[np.argsort(own, kind="stable")[: prefix_length(len(shingles), similarity)]]
+
+
+def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` that share the shingles at places ``at`` and ``to``, and none before, can have the similarity."""
+    need = similarity / (1 + similarity) * (n + m) - 1e-6
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (np.minimum(n - at, m - to) >= need)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Distinct pairs, the smaller first, as rows of two."""
+    x, y = (np.concatenate([*v, np.zeros(0, np.int64)]) for v in (a, b))
+    both = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+    return np.unique(both[x != y], axis=0)
+
+
+def _leader_stage(similarity: float):
+    """Reads rows (key, fp, n, at) sorted by key, at, fp; gives pairs with the first ``LEADERS`` of each bucket (kind 0) and the rows of buckets
+    in which other pairs remain (kind 1)."""
+    names = ["kind", "a", "b", "n", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last bucket's first rows and their count go on into the next batch: no bucket is held whole.
+        key, fp, n, at = (np.zeros(0, np.int64) for _ in range(4))
+        open_key, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(key)
+            key, fp, n, at = (np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip((key, fp, n, at), batch.columns, strict=True))
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([start, [len(key)]]))
+            left, right = [], []
+            place = _within(size)
+            for d in range(LEADERS):
+                lead = np.repeat(np.minimum(start + d, len(key) - 1), size)
+                row = np.flatnonzero((place > d) & (np.arange(len(key)) >= old))
+                lead = lead[row]
+                hit = _may_link(n[row], at[row], n[lead], at[lead], similarity)
+                left.append(fp[row[hit]])
+                right.append(fp[lead[hit]])
+            pairs = _pairs(left, right)
+            total = size.copy()
+            if old and open_key == key[0]:
+                total[0] += seen - old
+            # The last bucket's rows are given in any case where it may go on; a bucket of one row more or less does not matter.
+            more = np.repeat(total > LEADERS + 1, size)
+            more[start[-1] :] = True
+            if old and open_key == key[0]:
+                more[:old] = False
+            at_end = slice(start[-1], min(start[-1] + LEADERS, len(key)))
+            open_key, seen = int(key[-1]), int(total[-1])
+            rows = np.flatnonzero(more)
+            k, m = len(pairs), len(rows)
+            if k + m:
+                kind = np.repeat(np.array([0, 1], np.int32), [k, m])
+                blank = np.zeros(k, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kind), pa.array(np.concatenate([pairs[:, 0], key[rows]])), pa.array(np.concatenate([pairs[:, 1], fp[rows]])),
+                     pa.array(np.concatenate([blank, n[rows]])), pa.array(np.concatenate([blank, at[rows]]))], names)
+            key, fp, n, at = key[at_end], fp[at_end], n[at_end], at[at_end]
+
+    return run
+
+
+def _across_stage(similarity: float):
+    """Reads rows (key, fp, n, at, comp) sorted by key; gives the pairs (a, b) of a bucket that are in different components and may link."""
+
+    def across(fp: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        which, times = np.unique(comp, return_counts=True)
+        # Members of the largest component meet the others only.
+        few = np.flatnonzero(comp != which[times.argmax()])
+        step = max(1, (1 << 20) // len(fp))
+        for i in range(0, len(few), step):
+            f = few[i : i + step]
+            x, y = np.nonzero((comp[f, None] != comp) & _may_link(n[f, None], at[f, None], n, at, similarity))
+            yield fp[f[x]], fp[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 5
+
+        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1], [True]]))
+            left, right, many = [], [], 0
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                for a, b in across(*(c[i:j] for c in cols[1:])) if j - i > 1 else ():
+                    left.append(a)
+                    right.append(b)
+                    many += len(a)
+                    if many > 1 << 20:
+                        yield given(_pairs(left, right))
+                        left, right, many = [], [], 0
+            yield given(_pairs(left, right))
+
+        def given(p: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
         for b in batches:
-            fps = b.column(0).to_numpy()
-            wide = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), "<u8").reshape(-1, WIDE)
-            for at in range(0, len(fps), 2048):
-                rows, keys = wide_keys(golay, wide[at : at + 2048])
-                second = np.ascontiguousarray(wide[at : at + 2048, 1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 2048][rows]), pa.array(second[rows])], ["key", "fp", "more0"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1], "left")) if len(cols[0]) else 0
+            if last:
+                yield from out([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
+        if len(held[0]):
+            yield from out(held)
+
+    return run
+
+
+def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``rows(key, fp, n, at)`` of buckets, links found -> distinct ``(a, b)`` that meet in a bucket, may link and are not linked yet."""
+    width = shuffle_width(rows.sparkSession)
+    roots = components(edges).withColumnRenamed("node", "fp")
+    rows = written(rows.join(roots, "fp", "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("comp")), "buckets")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("times"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    blocks = F.ceil(F.col("times") / F.lit(block)).cast("long")
+    rows = rows.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("blk", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp", "n", "at", "comp")
+    return rows.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_across_stage(similarity), "a long, b long").distinct()
+
+
+def class_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by hash class, a quarter to a half as many classes as shingles (a power of two), 255 at most."""
+    classes = 1 << max(3, (len(shingles) // 2).bit_length() - 1)
+    return np.minimum(np.bincount(shingles & (classes - 1), minlength=classes), 255).astype(np.uint8)
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two sets of these class counts do not share, at the least."""
+    classes = min(len(x), len(y))
+    a, b = (v.astype(np.int64).reshape(-1, classes).sum(axis=0) for v in (x, y))
+    return int(np.abs(a - b).sum())
+
+
+def _screened(nodes: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """``near(a, b)`` without pairs whose class counts rule the similarity out."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = share * (b.column(2).to_numpy() + b.column(3).to_numpy()) + 1e-6
+            apart = [least_apart(*(np.frombuffer(v.as_py(), np.uint8) for v in both)) for both in zip(b.column(4), b.column(5), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(np.array(apart) <= most))
+
+    left, right = (nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")) for c in "ab")
+    return near.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
+def _known_texts(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``__key`` is in ``named`` and, by equal hash classes, some others: fewer texts to shuffle. A bitmap of 1 MB."""
+    place = F.pmod("__key", F.lit(CLASSES))
+    words = named.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(__key, {CLASSES}) % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(CLASSES // 64, np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(i)), "<u8").reshape(-1, WIDE) for i in (2, 3))
-            apart = np.bitwise_count(x ^ y).sum(axis=1)
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart <= least)], ["a", "b", "sure"])
-            yield out.filter(pa.array(apart <= most))
+            at = b.column(1).to_numpy() % CLASSES
+            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-    keyed = nodes.select("fp", "wide").repartition(width, "fp").mapInArrow(spread, "key long, fp long, more0 long")
-    met = _bucketed(keyed, FIRST_BITS, block, False, 1)
-    left, right = (nodes.select(F.col("fp").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
-    return met.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long, sure boolean")
+    return texts.select("__id", "__key", "t").mapInArrow(run, "__id long, __key long, t binary")
 
 
-def _exact_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """``near(a, b)`` whose shingle sets, of one text a node, have the similarity."""
+def _linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``near(a, b)`` whose whole shingle sets, of one text a node, have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -414,36 +515,57 @@ def _exact_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str
                 first = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(sets)))], ["fp", "shingles"])
 
+    near = written(_screened(nodes, near, similarity), "screened")
     asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    named = nodes.join(asked, "fp").select("fp", F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("text_key").alias("__key"))
+    named = written(nodes.join(asked, "fp").select("fp", F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("text_key").alias("__key")), "named")
     texts = docs.select(id_key(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__key"), text_of(text_col).cast("binary").alias("t"))
-    sets = texts.join(named, ["__id", "__key"]).select("fp", "t").mapInArrow(run, "fp long, shingles array<long>")
-    # Written: read for both ends. A row repeated with its id and text has repeated sets, all alike.
-    sets = written(sets.dropDuplicates(["fp"]), "shingles")
+    # Rows repeated with their id and text count once.
+    texts = _known_texts(texts, named).dropDuplicates(["__id", "__key"])
+    # Written: read for both ends.
+    sets = written(texts.join(named, ["__id", "__key"]).select("fp", "t").mapInArrow(run, "fp long, shingles array<long>"), "shingles")
     left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return near.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return written(near.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "linked")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As ``near_duplicates``, for shingle sets of ``similarity`` or more; ``fp`` is the first 64 bits of the wide fingerprint."""
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """As ``near_duplicates``, for shingle sets of ``similarity`` or more, all of them; ``fp`` is the XXH64 of the set."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    width = shuffle_width(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                wide = [wide_fingerprint(t.as_py() or b"", words) for t in part.column(2)]
-                fps = np.array([w[0] for w in wide], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array([w.astype("<u8").tobytes() for w in wide], pa.binary())], ["doc_id", "text_key", "fp", "wide"])
+                sets = [shingle_set(t.as_py() or b"", words) for t in part.column(2)]
+                fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                first = [prefix(x, ranks.value, similarity).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary()), pa.array([class_counts(x).tobytes() for x in sets], pa.binary())], ["doc_id", "text_key", "fp", "n", "first", "counts"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keys = [np.frombuffer(x.as_py(), np.int64) for x in part.column(2)]
+                size = np.array([len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(np.repeat(part.column(i).to_numpy(), size)) for i in (0, 1)], pa.array(_within(size))], ["key", "fp", "n", "at"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).cast("binary").alias("t"))
-    rows = written(rows.mapInArrow(run, "doc_id long, text_key long, fp long, wide binary"), "wide")
-    # Fingerprints whose first 64 bits agree stand as one node, with the smallest of their wide forms and a row that has it.
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("wide", "doc_id", "text_key")).alias("one"))
-    nodes = written(nodes.select("fp", "least_id", "one.*"), "nodes")
-    found = written(wide_links(nodes, similarity), "estimated")
-    near = _exact_links(docs, nodes, found.where("not sure").select("a", "b"), id_col, text_col, words, similarity)
-    return _labelled(rows, nodes, found.where("sure").select("a", "b").unionByName(near))
+    rows = written(rows.mapInArrow(run, "doc_id long, text_key long, fp long, n long, first binary, counts binary"), "prefixes")
+    # Equal shingle sets stand as one node.
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), *[F.first(c).alias(c) for c in ("n", "first", "counts")])
+    nodes = written(nodes.select("fp", "least_id", "one.*", "n", "first", "counts"), "nodes")
+    keyed = nodes.select("fp", "n", "first").mapInArrow(spread, "key long, fp long, n long, at long")
+    # Least place first: members with the fewest rare shingles of their own are nearest to the rest of a family, so they lead.
+    met = keyed.repartition(width, "key").sortWithinPartitions("key", "at", "fp").mapInArrow(_leader_stage(similarity), "kind int, a long, b long, n long, at long")
+    met = written(met, "met")
+    near = written(met.where("kind = 0").select("a", "b").distinct(), "near")
+    rest = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "n", "at")
+    edges = _linked(docs, nodes, near, id_col, text_col, words, similarity)
+    near = written(_across(rest, edges, similarity, block), "across")
+    return _labelled(rows, nodes, edges.unionByName(_linked(docs, nodes, near, id_col, text_col, words, similarity)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
