@@ -57,3 +57,15 @@ def test_outliers_of_a_large_family(spark, block):
     texts = family_and_outliers(random.Random(1), 300, 1)
     random.Random(2).shuffle(texts)
     assert found(spark, texts, block=block) == brute(texts)
+
+
+def test_isolated_pairs_at_the_limit(spark):
+    rng, texts = random.Random(4), []
+    for k in range(150):
+        w = [f"w{rng.randrange(1 << 30)}" for _ in range(100 + k)]
+        # Of n shingles the first n - cut remain: similarity from just below 0.8 to 0.83.
+        cut = (len(w) - 4) * (17 + k % 4) // 100
+        texts += [" ".join(w), " ".join(w[: len(w) - cut])]
+    want = brute(texts)
+    assert found(spark, texts) == want
+    assert 100 < 300 - len(set(want.values())) <= 150
