@@ -69,3 +69,13 @@ def test_isolated_pairs_at_the_limit(spark):
     want = brute(texts)
     assert found(spark, texts) == want
     assert 100 < 300 - len(set(want.values())) <= 150
+
+
+@pytest.mark.parametrize("long, short, linked", [(5, 4, True), (8, 6, False), (9, 7, False), (15, 12, True), (19, 15, False), (10, 8, True)])
+def test_short_texts(spark, long, short, linked):
+    texts, rng = [], random.Random(long)
+    for _ in range(60):
+        w = [f"w{rng.randrange(1 << 30)}" for _ in range(long + 4)]
+        texts += [" ".join(w), " ".join(w[: short + 4])]
+    got = found(spark, texts)
+    assert got == {i: i - i % 2 if linked else i for i in range(120)}
