@@ -3,7 +3,7 @@
 Suffixes are taken at content-defined anchors, one in about forty bytes, instead of at every
 byte: equal 100-byte strings have equal anchors at equal offsets, and the suffix at an anchor,
 packed with the bytes to its left that its windows need, stands for all of them. Every suffix
-of the text with its first 100 bytes would be fifty times the input; anchored ones are about three.
+of the text with its first 100 bytes would be about a hundred times the input (an estimate, not measured); anchored ones are about three.
 
 Sampled splitters range-partition the suffixes by their leading eight bytes. Buckets sort them
 locally by multikey quicksort (eight bytes a key, only ties go on to the next key) to
