@@ -46,7 +46,7 @@ def family_and_outliers(rng, members, outliers):
     base = [f"w{rng.randrange(1 << 30)}" for _ in range(300)]
     texts = [edited(rng, base, [20 + rng.randrange(10)]) for _ in range(members)]
     for k in range(outliers):
-        near = edited(rng, base, [60 + 40 * k, 100, 130])
+        near = edited(rng, base, [60 + 5 * k])
         far = edited(rng, near, [170, 190, 210, 230, 250, 270])
         texts += [" ".join(near), " ".join(far)]
     return [t if isinstance(t, str) else " ".join(t) for t in texts]
@@ -54,7 +54,7 @@ def family_and_outliers(rng, members, outliers):
 
 @pytest.mark.parametrize("block", [20_000, 7])
 def test_outliers_of_a_large_family(spark, block):
-    texts = family_and_outliers(random.Random(1), 300, 1)
+    texts = family_and_outliers(random.Random(1), 300, 15)
     random.Random(2).shuffle(texts)
     assert found(spark, texts, block=block) == brute(texts)
 
