@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null integer id wherever ids are ordered: null ids come last.
 NULL_ID = 2**63 - 1
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on one machine (master ``local``) where the session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/litloom"
+#: Folders made by ``written`` since the innermost ``scratch`` began.
+_MADE: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a fallback for tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Without it a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/litloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/litloom-{label}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -34,6 +44,59 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate folders made within it; results must have been written elsewhere by its end."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
+
+
+def dealt(width: int) -> list[int]:
+    """An int for each partition that ``repartition(width, col)`` deals to it: the inverse of Spark's hash of ints.
+
+    Numbered buckets go to partitions evenly this way; with another number of partitions they are dealt by hash.
+    """
+
+    def turn(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    ids = np.arange(64 * width, dtype=np.uint32)
+    # Murmur3 (x86, 32 bits) of one int with seed 42.
+    h = turn(np.uint32(42) ^ turn(ids * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    part = (h ^ (h >> np.uint32(16))).view(np.int32) % width
+    out = np.zeros(width, np.int64)
+    out[part[::-1]] = ids[::-1]
+    return out.tolist()
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def renamed(names: Iterable[str]) -> list[Column]:
+    """Given columns under private names ``__c0``, ``__c1``, .., so that no working column can clash with them."""
+    return [quoted(c).alias(f"__c{i}") for i, c in enumerate(names)]
+
+
+def given(names: Iterable[str]) -> list[Column]:
+    """The columns of ``renamed`` under their own names again."""
+    return [F.col(f"__c{i}").alias(c) for i, c in enumerate(names)]
+
+
+def without(names: Iterable[str], added: Iterable[str]) -> list[str]:
+    """``names`` but those that an operator adds itself (Spark's names ignore case)."""
+    taken = {a.lower() for a in added}
+    return [c for c in names if c.lower() not in taken]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
