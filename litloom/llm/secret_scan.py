@@ -7,10 +7,10 @@ one held by few looks live. Generic tokens become spans only if they look live b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litloom.llm.common import text_of, written
+from litloom.llm.common import quoted, text_of, written
 
 #: Fixed values of the contract: pattern, group that is the value, least characters of the value, in the order of the kinds.
 KINDS = (
@@ -24,41 +24,52 @@ GENERIC = ("generic", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0, 20)
 MOST_OWNERS = 2
 
 
+_FOUND = "array<struct<kind:int,nth:int,gap:int,size:int,hash:string>>"
+
+
 def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Array of (start, kind, end, value): leftmost matches that do not overlap, in code points, short values dropped.
+    """Array of (kind, nth, gap, size, hash): leftmost matches that do not overlap, in order.
 
-    The pieces between matches come from a split by the same pattern; lengths add up to places.
+    ``gap`` is the number of code points since the match before, ``size`` that of the match; places are
+    running sums of both, taken later. The pieces between matches come from a split by the same pattern.
+    ``hash`` is that of the value, null for matches to be dropped.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gap = F.split(text, pattern, -1)
-    rows = F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(gap, F.lit(1), F.size(whole)).alias("g"))
-    span = "struct<start:int,kind:int,end:int,value:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + F.length(r["g"])
-        end = begin + F.length(r["m"])
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), r["v"].alias("value")))
-        return F.struct(end.alias("at"), F.when(F.length(r["v"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(rows, start, step, lambda a: a["out"])
+    rows = F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("g"))
 
+    def one(r: Column, nth: Column) -> Column:
+        fits = F.length(r["v"]) >= least
+        if kind == len(KINDS):
+            fits = fits & r["v"].rlike("[0-9]") & r["v"].rlike("[A-Za-z]")
+        value_hash = F.when(fits, F.sha2(r["v"], 256))
+        return F.struct(F.lit(kind).alias("kind"), nth.alias("nth"), F.length(r["g"]).alias("gap"), F.length(r["m"]).alias("size"), value_hash.alias("hash"))
 
-def _any_match(text: Column, kind: tuple) -> Column:
-    return text.rlike(kind[1])
+    return F.when(text.rlike(pattern), F.transform(rows, one)).otherwise(F.array().cast(_FOUND))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """One row per distinct (document, span): id, text key, owner, span and hash of the value."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("owner"), text_of(text_col).alias("text"))
-    rows = rows.where(F.greatest(*[_any_match(F.col("text"), k) for k in (*KINDS, GENERIC)]))
-    found = [F.when(_any_match(F.col("text"), k), matches(F.col("text"), k[1], k[2], k[3], i)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")) for i, k in enumerate((*KINDS, GENERIC))]
-    rows = rows.select("doc_id", "owner", F.xxhash64("text").alias("text_key"), F.concat(*found[:3]).alias("base"), found[3].alias("more"))
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    more = F.filter("more", lambda g: mixed(g["value"]) & ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    rows = rows.select("doc_id", "owner", "text_key", F.explode(F.concat("base", more)).alias("s"))
-    return rows.select("doc_id", "owner", "text_key", "s.start", "s.kind", "s.end", F.sha2("s.value", 256).alias("value_hash")).distinct()
+    """One row per distinct (document, span): id, text key, owner, span and hash of the value. Linear in the matches of a text."""
+    kinds = (*KINDS, GENERIC)
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("owner"), text_of(text_col).alias("text"))
+    rows = rows.where(F.greatest(*[F.col("text").rlike(k[1]) for k in kinds]))
+    found = F.concat(*[matches(F.col("text"), k[1], k[2], k[3], i) for i, k in enumerate(kinds)])
+    doc = ["doc_id", "owner", "text_key"]
+    # The text ends here: beside explode, its hash would be taken anew for every match.
+    rows = rows.select("doc_id", "owner", F.xxhash64("text").alias("text_key"), found.alias("found"))
+    rows = rows.select(*doc, F.explode("found").alias("s")).select(*doc, "s.*")
+    # Repeated rows are one; then all matches of a document together, lengths and hashes only.
+    rows = rows.distinct().repartition(*doc)
+    upto = Window.partitionBy(*doc, "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")).where("hash is not null")
+    rows = rows.withColumn("start", F.col("end") - F.col("size"))
+    # A generic token goes if a base span overlaps it: one that begins before it, or the next one.
+    base = F.col("kind") < len(KINDS)
+    up = Window.partitionBy(*doc).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*doc).orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("reach", F.max(F.when(base, F.col("end"))).over(up)).withColumn("next", F.min(F.when(base, F.col("start"))).over(down))
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
+    return rows.where(base | apart).select(*doc, "start", "kind", "end", F.col("hash").alias("value_hash"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -77,7 +88,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     found = written(candidates(docs, id_col, text_col, source_col), "candidates")
     known = found.join(ownership(found), "value_hash")
-    known = known.withColumn("live", F.col("n_owners") <= most_owners).where("kind < 3 or live")
+    known = known.withColumn("live", F.col("n_owners") <= most_owners).where(f"kind < {len(KINDS)} or live")
     per_doc = known.groupBy("doc_id", "owner", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("s"))
     names = F.array(*[F.lit(k[0]) for k in (*KINDS, GENERIC)])
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("owner").alias("o"), F.col("text_key").alias("k"), "s")
