@@ -16,8 +16,9 @@ Each distinct fingerprint gives about 60 keys of 25 to 37 bits; random pairs mee
 with a chance near 1e-6. Members of a bucket are verified by bit count, and a bucket
 yields a spanning forest, never all its pairs.
 
-Four of 64 bits is a narrow radius (about 0.95 similarity). ``similar_documents`` finds exactly
-the components of all pairs at a given shingle similarity t, 0.8 as a rule, whatever the sizes.
+Four of 64 bits is a narrow radius (about 0.95 similarity). ``similar_documents`` takes the links found this way as
+first candidates and goes on from them to exactly the components of all pairs at a given shingle similarity t,
+0.8 as a rule, whatever the sizes.
 Shingles have one fixed order, rare ones first. Two sets of similarity t or more share one of the
 first n - ceil(t n) + 1 shingles of each (the prefix filter of set joins); these are the keys. The
 sizes and the places in the order bound the overlap without loss, and what remains is compared
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.common import NULL_ID, id_key, shuffle_width, text_of, written
+from litloom.llm.common import NULL_ID, given, id_key, renamed, shuffle_width, text_of, written
 from litloom.llm.components import components
 
 #: Generator polynomial of the binary Golay code, its length and check bits.
@@ -70,7 +71,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 
 
 #: Members up to which all close pairs of a bucket become links.
-_SMALL_RUN = 64
+_SMALL_RUN = 16
 #: Members of a bucket that all others are compared with first.
 LEADERS = 4
 #: Documents sampled for the order of shingles (that many, and a tenth at least, so that buckets of unranked shingles
@@ -461,6 +462,22 @@ def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int) ->
     return rows.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_across_stage(similarity), "a long, b long").distinct()
 
 
+def majority(shingles: np.ndarray) -> int:
+    """Majority bits of a set of shingle hashes: its 64-bit fingerprint. No shingles: 0."""
+    bits = np.unpackbits(shingles.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(shingles)).tobytes(), "big")
+
+
+def _golay_pairs(nodes: DataFrame, block: int) -> DataFrame:
+    """``nodes(fp, sim)`` -> pairs ``(a, b)`` of nodes whose fingerprints ``sim`` link: one node for each fingerprint, and the others of it with that one."""
+    one = written(nodes.groupBy("sim").agg(F.min("fp").alias("fp")), "sims")
+    found = links(one.select(F.col("sim").alias("fp")), MAX_BITS, block)
+    left, right = (one.select(F.col("sim").alias(c), F.col("fp").alias(f"fp{c}")) for c in "ab")
+    between = found.join(left, "a").join(right, "b").select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))
+    within = nodes.select("sim", F.col("fp").alias("b")).join(one.select("sim", F.col("fp").alias("a")), "sim").where("a <> b").select("a", "b")
+    return between.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def class_counts(shingles: np.ndarray) -> np.ndarray:
     """Shingles by hash class, a quarter to a half as many classes as shingles (a power of two), 255 at most."""
     classes = 1 << max(3, (len(shingles) // 2).bit_length() - 1)
@@ -542,7 +559,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 sets = [shingle_set(t.as_py() or b"", words) for t in part.column(2)]
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 first = [prefix(x, ranks.value, similarity).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary()), pa.array([class_counts(x).tobytes() for x in sets], pa.binary())], ["doc_id", "text_key", "fp", "n", "first", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary()), pa.array([class_counts(x).tobytes() for x in sets], pa.binary()), pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))], ["doc_id", "text_key", "fp", "n", "first", "counts", "sim"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -553,15 +570,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(np.repeat(part.column(i).to_numpy(), size)) for i in (0, 1)], pa.array(_within(size))], ["key", "fp", "n", "at"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).cast("binary").alias("t"))
-    rows = written(rows.mapInArrow(run, "doc_id long, text_key long, fp long, n long, first binary, counts binary"), "prefixes")
+    rows = written(rows.mapInArrow(run, "doc_id long, text_key long, fp long, n long, first binary, counts binary, sim long"), "prefixes")
     # Equal shingle sets stand as one node.
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), *[F.first(c).alias(c) for c in ("n", "first", "counts")])
-    nodes = written(nodes.select("fp", "least_id", "one.*", "n", "first", "counts"), "nodes")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), *[F.first(c).alias(c) for c in ("n", "first", "counts", "sim")])
+    nodes = written(nodes.select("fp", "least_id", "one.*", "n", "first", "counts", "sim"), "nodes")
     keyed = nodes.select("fp", "n", "first").mapInArrow(spread, "key long, fp long, n long, at long")
     # Least place first: members with the fewest rare shingles of their own are nearest to the rest of a family, so they lead.
     met = keyed.repartition(width, "key").sortWithinPartitions("key", "at", "fp").mapInArrow(_leader_stage(similarity), "kind int, a long, b long, n long, at long")
     met = written(met, "met")
-    near = written(met.where("kind = 0").select("a", "b").distinct(), "near")
+    near = met.where("kind = 0").select("a", "b").unionByName(_golay_pairs(nodes.select("fp", "sim"), block))
+    near = written(near.distinct(), "near")
     rest = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "n", "at")
     edges = _linked(docs, nodes, near, id_col, text_col, words, similarity)
     near = written(_across(rest, edges, similarity, block), "across")
@@ -569,14 +587,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per input row: ``doc_id, text_key, fp, fingerprint, component_id``.
+    """One row per input row: ``doc_id, text_key, fp, root, fingerprint, component_id``; ``root`` tells components apart.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows and
     ids each keep their row. ``component_id`` is the smallest id of the component (null only
     where all its ids are null). An empty table gives no rows; other columns are ignored.
     """
     rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    # Written: else the sixty keys a node would fan out in the one or two tasks that hold the small table of nodes.
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     return _labelled(rows, nodes, links(nodes.select("fp"), max_bits))
 
 
@@ -585,16 +604,21 @@ def _labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     # Written, so that the join below shuffles both sides and a large component can be split.
     owner = written(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "owners")
-    of_fp = member.join(owner, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = member.join(owner, "root").select("fp", "root", "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", "text_key", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_component(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay: of each component of ``found`` the row with the smallest id (one of them if repeated). Columns as given."""
-    stay = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("times"))
-    stay = written(stay.select(F.col("component_id").alias("__id"), F.col("text_key").alias("__key"), F.col("times").alias("__times")), "stay")
-    kept = docs.withColumn("__k", F.xxhash64(text_of(text_col)))
-    kept = kept.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "inner")
-    if not stay.where("__times > 1").isEmpty():
-        kept = kept.dropDuplicates(["__id", "__key"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that stay: of each component of ``found`` the row with the smallest id. Columns as given, values too.
+
+    Components are told apart by ``root``, so unrelated texts under one id, or without id, stay each. Null ids come
+    last; equal ids are ordered by text key; of rows repeated with their id and text one stays. Null and empty texts are one component.
+    """
+    times = found.groupBy("root", id_key("doc_id").alias("id"), "text_key").agg(F.count("*").alias("times"))
+    one = times.groupBy("root").agg(F.min(F.struct("id", "text_key", "times")).alias("one"))
+    stay = written(one.select(F.col("one.id").alias("stay_id"), F.col("one.text_key").alias("stay_key"), "one.times"), "stay")
+    kept = docs.select(*renamed(docs.columns), id_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"))
+    kept = kept.join(stay, (F.col("id") == F.col("stay_id")) & (F.col("text_key") == F.col("stay_key")))
+    if not stay.where("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "text_key"])
+    return kept.select(*given(docs.columns))
