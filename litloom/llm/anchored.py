@@ -5,13 +5,10 @@ to be frequent ranked last so that no common phrase draws a large part of all wi
 Neighbouring windows with one anchor travel as one packed string. Equal windows have equal
 anchors at equal offsets, so they always meet in one bucket.
 
-A map task packs the strings of a slice of documents into one compressed block a bucket.
-Strings that repeat within the slice are sent once; their verdict is given on the spot. A
-bucket drops strings whose anchor occurs once, hashes the windows of the rest, sorts the
-hashes and compares equal ones byte for byte.
-
-Everything here is vectorised numpy; the two users are ``superkmer`` (words, hash buckets)
-and ``suffix_dedup`` (bytes, range buckets).
+A map task packs the strings of many documents into one compressed block a bucket. Strings
+that repeat among them are sent once; their verdict is given on the spot. What a bucket does
+with its strings is up to the user: ``superkmer`` (words, hash buckets) sorts window hashes,
+``suffix_dedup`` (bytes, range buckets) sorts suffixes. Everything is vectorised numpy.
 """
 
 from __future__ import annotations
@@ -25,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.common import id_key, text_of
+from litloom.llm.common import dealt, id_key, text_of
 
 U = np.uint64
 #: Odd multiplier of the rolling polynomial and its inverse modulo 2**64.
@@ -34,6 +31,14 @@ _RINV = pow(_R, -1, 1 << 64)
 #: Bytes of text handled at once, and of packed strings held before they are sent.
 SLICE = 1 << 19
 HELD = 24 << 20
+#: Bytes of packed strings aimed at in one bucket, and packed bytes a byte of text at most, as a rule.
+BUCKET_BYTES = 32 << 20
+PACKED = 5
+#: Buckets at most: their splitters are broadcast.
+MOST_BUCKETS = 1 << 20
+#: Share of the text looked at for frequent anchors, besides a least number of bytes, and how many are told to all tasks at most (8 bytes each).
+SAMPLE_SHARE = 1 / 4096
+MOST_FREQUENT = 1 << 21
 _POS_BITS = 25
 #: ASCII white space of the word contracts.
 _WHITE = np.zeros(256, bool)
@@ -231,7 +236,8 @@ def classes(buf: np.ndarray, h: np.ndarray, a: np.ndarray, size: np.ndarray) ->
 
 #: Columns of a packed block, in order: bytes, windows, anchor (first byte within the string, bytes), flag, document, text key, unit position.
 _COLUMNS = ("<i4", "<i4", "<i4", "<i4", "u1", "<i8", "<i8", "<i8")
-Piece = tuple[bytes, list[np.ndarray]]
+#: Bytes of the strings, columns, and the hash of each string (not sent).
+Piece = tuple[bytes, list[np.ndarray], np.ndarray]
 #: One document or a part of a long one: id, text key, bytes, number of units before it.
 Doc = tuple[int, int, bytes, int]
 
@@ -242,7 +248,7 @@ def pack(pieces: list[Piece]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def unpack(block: bytes) -> Piece:
+def unpack(block: bytes) -> tuple[bytes, list[np.ndarray]]:
     raw = zstandard.ZstdDecompressor().decompress(block)
     n, at, cols = struct.unpack_from("<q", raw)[0], 8, []
     for t in _COLUMNS:
@@ -311,7 +317,8 @@ def map_slice(docs: list[Doc], k: int, m: int, words: bool, frequent: FrequentSe
     else:
         buf, ba, be, aa, ae = seq.buf, s, e, a, a + m
     size = be - ba
-    cls = classes(buf, seq.span_hash(s, e), ba, size)
+    string_hash = seq.span_hash(s, e)
+    cls = classes(buf, string_hash, ba, size)
     ids, keys, base = (np.array([r[i] for r in docs], np.int64) for i in (0, 1, 3))
     d = np.searchsorted(seq.first, s, "right") - 1
     pos = s - seq.first[d] + base[d]
@@ -336,10 +343,41 @@ def map_slice(docs: list[Doc], k: int, m: int, words: bool, frequent: FrequentSe
         x = send[i:j]
         flag = marked[x] & (not keep_first)
         cols = [size[x], n[x], aa[x] - ba[x], ae[x] - aa[x], flag, ids[d[x]], keys[d[x]], pos[x]]
-        pieces.append((int(b[i]), (buf[ranges(ba[x], size[x])].tobytes(), [c.astype(t) for c, t in zip(cols, _COLUMNS, strict=True)])))
+        pieces.append((int(b[i]), (buf[ranges(ba[x], size[x])].tobytes(), [c.astype(t) for c, t in zip(cols, _COLUMNS, strict=True)], string_hash[x])))
     return pieces, out
 
 
+def combined(pieces: list[Piece], k: int, keep_first: bool) -> tuple[Piece, tuple[np.ndarray, ...] | None]:
+    """The pieces of one bucket as one, strings that repeat among them once; and the verdicts on the others, as ``map_slice`` gives them."""
+    raw = b"".join(p[0] for p in pieces)
+    cols = [np.concatenate([p[1][i] for p in pieces]) for i in range(len(_COLUMNS))]
+    h = np.concatenate([p[2] for p in pieces])
+    if len(pieces) == 1 or len(np.unique(h)) == len(h):
+        return (raw, cols, h), None
+    size, n, _, _, flag, ids, keys, pos = (c.astype(np.int64) for c in cols)
+    begin = np.cumsum(size) - size
+    order = np.lexsort((pos, keys, ids))
+    buf = np.frombuffer(raw, np.uint8)
+    _, lead, inverse = np.unique(classes(buf, h[order], begin[order], size[order]), return_index=True, return_inverse=True)
+    own = np.empty(len(h), np.int64)
+    own[order] = order[lead[inverse]]
+    twin = own != np.arange(len(h))
+    again = twin & ((ids != ids[own]) | (keys != keys[own]) | (pos != pos[own]))
+    if keep_first:
+        covered = again
+    else:
+        # One copy goes on, marked; marked ones have had their verdict.
+        marked = np.zeros(len(h), bool)
+        marked[own[again | (twin & (flag > 0))]] = True
+        covered = (again | marked) & (flag == 0)
+        cols[4] = (marked | (flag > 0)).astype("u1")
+    v = np.flatnonzero(covered)
+    v = v[np.lexsort((pos[v], keys[v], ids[v]))]
+    stay = np.flatnonzero(~twin)
+    kept = (buf[ranges(begin[stay], size[stay])].tobytes(), [c[stay] for c in cols], h[stay])
+    return kept, (ids[v], keys[v], pos[v], (n + k - 1)[v])
+
+
 def merged_runs(owner: np.ndarray, first: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Joins runs that touch; given by owner and position, both ends ascending within an owner."""
     if not len(owner):
@@ -358,14 +396,20 @@ def by_gram(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip(at.tolist(), (at + size).tolist(), strict=True)), np.int64, len(at))
 
 
-def reduce_bucket(blocks: list[bytes], k: int, words: bool, keep_first: bool, powers: Powers, group_by: Callable = by_gram, limit: int = SLICE) -> Iterator[tuple[np.ndarray, ...]]:
-    """Covered unit runs (doc, text key, first unit, units) decided by a whole bucket, a few groups of one anchor at a time."""
+def columns_of(blocks: list[bytes]) -> tuple[bytes, list[np.ndarray]]:
+    """All strings of a bucket and their columns."""
     texts, columns = zip(*map(unpack, blocks), strict=True)
-    raw = b"".join(texts)
-    size, n, anchor, gram, flag, ids, keys, pos = (np.concatenate(c).astype(np.int64) for c in zip(*columns, strict=True))
-    del texts, columns
+    return b"".join(texts), [np.concatenate(c).astype(np.int64) for c in zip(*columns, strict=True)]
+
+
+def repeated_windows(blocks: list[bytes], k: int, words: bool, powers: Powers, limit: int = SLICE) -> Iterator[tuple[np.ndarray, ...]]:
+    """Covered unit runs (doc, text key, first unit, units): windows that start more than once in a bucket, a few groups of one anchor at a time.
+
+    Strings whose anchor occurs once are dropped; the windows of the rest are hashed and sorted, and equal hashes compared byte for byte.
+    """
+    raw, (size, n, anchor, gram, flag, ids, keys, pos) = columns_of(blocks)
     begin = np.cumsum(size) - size
-    group = group_by(raw, begin + anchor, gram)
+    group = by_gram(raw, begin + anchor, gram)
     times = np.bincount(group)
     many = np.flatnonzero((times[group] > 1) | (flag > 0))
     many = many[np.argsort(group[many], kind="stable")]
@@ -386,20 +430,16 @@ def reduce_bucket(blocks: list[bytes], k: int, words: bool, keep_first: bool, po
         ba, be = seq.byte_span(w, w + k)
         cls = classes(seq.buf, seq.span_hash(w, w + k), ba, be - ba)
         doc, key, where = ids[x][owner], keys[x][owner], pos[x][owner] + w - first[owner]
-        order = np.lexsort((where, key, doc, cls)) if keep_first else np.argsort(cls, kind="stable")
+        order = np.argsort(cls, kind="stable")
         c = cls[order]
         head = np.ones(len(c), bool)
         head[1:] = c[1:] != c[:-1]
         lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
         apart = np.zeros(len(c), bool)
         apart[order] = (doc[order] != doc[lead]) | (key[order] != key[lead]) | (where[order] != where[lead])
-        if keep_first:
-            hit = apart
-        else:
-            repeated = np.zeros(int(cls.max()) + 1, bool)
-            repeated[cls[apart | flag_x[owner]]] = True
-            hit = repeated[cls] & ~flag_x[owner]
-        at = np.flatnonzero(hit)
+        repeated = np.zeros(int(cls.max()) + 1, bool)
+        repeated[cls[apart | flag_x[owner]]] = True
+        at = np.flatnonzero(repeated[cls] & ~flag_x[owner])
         if len(at):
             new = np.ones(len(at), bool)
             new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (at[1:] != at[:-1] + 1)
@@ -429,26 +469,41 @@ def packed_runs(first: np.ndarray, units: np.ndarray) -> np.ndarray:
     return (first << RUN_BITS) | units
 
 
-_NAMES = ["bucket", "block", "doc", "key", "run"]
+_NAMES = ["to", "bucket", "block", "doc", "key", "run"]
 
 
-def _verdicts(cols: tuple[np.ndarray, ...], width: int) -> pa.RecordBatch:
-    """Rows with a negative bucket, dealt out by document."""
+def _verdicts(cols: tuple[np.ndarray, ...], code: np.ndarray) -> pa.RecordBatch:
+    """Rows of bucket -1, dealt out by document."""
     doc, key, first, units = cols
-    return pa.RecordBatch.from_arrays([pa.array((-1 - np.abs(doc % width)).astype(np.int32)), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(key), pa.array(packed_runs(first, units))], _NAMES)
+    to = code[np.abs(doc % len(code))]
+    return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(doc), -1, np.int32)), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(key), pa.array(packed_runs(first, units))], _NAMES)
 
 
-def _blocks(held: dict[int, list[Piece]]) -> pa.RecordBatch:
-    none = pa.nulls(len(held), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack(p) for p in held.values()], pa.binary()), none, none, none], _NAMES)
+def _blocks(held: dict[int, list[Piece]], k: int, keep_first: bool, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    numbers, blocks = list(held), []
+    for b in numbers:
+        piece, now = combined(held.pop(b), k, keep_first)
+        blocks.append(pack([piece]))
+        if now is not None and len(now[0]):
+            yield _verdicts(now, code)
+    none = pa.nulls(len(numbers), pa.int64())
+    to = code[np.array(numbers) % len(code)]
+    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary()), none, none, none], _NAMES)
 
 
-def covered_runs(rows: DataFrame, k: int, m: int, words: bool, keep_first: bool, bucket: Callable, frequent: np.ndarray, width: int, group_by: Callable = by_gram, slice_bytes: int = SLICE) -> DataFrame:
-    """``rows(doc, key, text binary)`` -> ``(doc, key, runs array<long>)``, one row for each row with covered units.
+#: Decides a bucket: its number and blocks -> (doc, key, first unit, units) covered, and (doc, key, first, units, window) still open or None.
+Decide = Callable[[int, list[bytes]], Iterator[tuple[tuple[np.ndarray, ...], list[bytes] | None]]]
 
-    ``bucket`` numbers the buckets from zero; ``width`` partitions share them. One shuffle
+
+def covered_runs(
+    rows: DataFrame, k: int, m: int, words: bool, keep_first: bool, bucket: Callable, decide: Decide, frequent: np.ndarray, width: int, slice_bytes: int = SLICE
+) -> DataFrame:
+    """``rows(doc, key, text binary)`` -> ``(doc, key, run long, window binary)``: covered runs, and open ones with their window.
+
+    ``bucket`` numbers the buckets from zero; ``width`` partitions share them evenly. One shuffle
     carries the packed blocks and the verdicts already given.
     """
+    code = np.array(dealt(width), np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, often = Powers(), FrequentSet(frequent)
@@ -458,45 +513,58 @@ def covered_runs(rows: DataFrame, k: int, m: int, words: bool, keep_first: bool,
         for part in slices(docs, slice_bytes):
             pieces, now = map_slice(part, k, m, words, often, bucket, keep_first, powers)
             if len(now[0]):
-                yield _verdicts(now, width)
+                yield _verdicts(now, code)
             for b, p in pieces:
                 held.setdefault(b, []).append(p)
                 weight += len(p[0]) + 45 * len(p[1][0])
             if weight >= HELD:
-                yield _blocks(held)
+                yield from _blocks(held, k, keep_first, code)
                 held, weight = {}, 0
         if held:
-            yield _blocks(held)
+            yield from _blocks(held, k, keep_first, code)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Reads rows sorted by bucket: verdicts pass, blocks are held until their bucket is complete."""
         held: list[bytes] = []
-        now, powers = None, Powers()
-        names = ["doc", "key", "run"]
+        now = None
+        names = ["doc", "key", "run", "window"]
 
         def decided() -> Iterator[pa.RecordBatch]:
-            for doc, key, first, units in reduce_bucket(held, k, words, keep_first, powers, group_by, slice_bytes):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(packed_runs(first, units))], names)
+            blocks = held.copy()
+            held.clear()
+            for (doc, key, first, units), window in decide(now, blocks):
+                open_windows = pa.nulls(len(doc), pa.binary()) if window is None else pa.array(window, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(packed_runs(first, units)), open_windows], names)
 
         for b in batches:
             number = b.column(0).to_numpy()
             given = int(np.searchsorted(number, 0))
             if given:
-                yield b.slice(0, given).select(names)
+                part = b.slice(0, given)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.nulls(given, pa.binary())], names)
             for i in range(given, len(number)):
                 if number[i] != now and held:
                     yield from decided()
-                    held = []
-                now = number[i]
+                now = int(number[i])
                 held.append(b.column(1)[i].as_py())
         if held:
             yield from decided()
 
-    mapped = rows.mapInArrow(spread, "bucket int, block binary, doc long, key long, run long")
-    runs = mapped.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc long, key long, run long")
+    mapped = rows.mapInArrow(spread, "to int, bucket int, block binary, doc long, key long, run long")
+    dealt_out = mapped.repartition(width, "to").sortWithinPartitions("bucket").drop("to")
+    return dealt_out.mapInArrow(gather, "doc long, key long, run long, window binary")
+
+
+def by_document(runs: DataFrame) -> DataFrame:
+    """``(doc, key, runs array<long>)``, one row for each row with covered units."""
     return runs.groupBy("doc", "key").agg(F.collect_list("run").alias("runs"))
 
 
+def bucket_count(total: int, width: int) -> int:
+    """Buckets of about ``BUCKET_BYTES`` for ``total`` bytes of text, two for each partition at least."""
+    return min(MOST_BUCKETS, max(2 * width, -(-total * PACKED // BUCKET_BYTES)))
+
+
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, key, text``: a row is known by id, and by the hash of its text too where ids repeat."""
     ids = docs.groupBy(id_key(id_col)).count()
@@ -504,16 +572,21 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), id_key(id_col).alias("doc"), key.alias("key"), text_of(text_col).cast("binary").alias("text"))
 
 
-def sampled_anchors(rows: DataFrame, k: int, m: int, words: bool, most_bytes: int, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequent m-gram hashes, leading eight bytes of anchors) from a bounded sample of documents.
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
 
-    The sample only steers work: which anchors are avoided and where ranges are cut. Documents
-    are drawn by hash with a chance that keeps their bytes near ``most_bytes`` at any
-    input size; an m-gram met ``share`` times or more in the sample is frequent.
+
+def sampled_anchors(rows: DataFrame, total: int, k: int, m: int, words: bool, least_bytes: int, share: int, depth: int, splitters: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequent m-gram hashes, leading ``depth`` bytes of some anchors, sorted) from a sample of documents.
+
+    The sample only steers work: which anchors are avoided and where ranges are cut. Documents are drawn by
+    hash with a chance that keeps their bytes near ``least_bytes``, or near ``SAMPLE_SHARE`` of a large input, so that
+    an anchor it does not see often enough has few strings at any input size; an m-gram met ``share`` times or more is frequent.
     """
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    chance = min(1.0, most_bytes / max(1, total))
+    chance = min(1.0, max(least_bytes / max(1, total), SAMPLE_SHARE))
     drawn = rows.where(F.pmod(F.xxhash64("key", "doc", F.lit(7)), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1)
+    # About 64 anchors a splitter reach the driver, whose number is bounded.
+    one_in = max(1, int(chance * total / 40 / max(1, 64 * splitters)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, none = Powers(), FrequentSet(np.zeros(0, U))
@@ -522,19 +595,22 @@ def sampled_anchors(rows: DataFrame, k: int, m: int, words: bool, most_bytes: in
             seq = concatenated(part, words, powers)
             _, _, a, g = anchored_runs(seq, k, m, none)
             if len(a):
-                lead = np.zeros(len(a), U)
-                if not words:
-                    lead = leading(seq.buf, a)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(lead.view(np.int64))], ["g", "lead"])
+                lead = [None] * len(a) if words else prefixes(seq.buf, a, depth).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(lead, pa.binary())], ["g", "lead"])
 
-    seen = drawn.select("doc", "key", "text").mapInArrow(look, "g long, lead long")
-    # The sample is bounded, so is what reaches the driver: fewer than sample bytes / share hashes, and one anchor in sixteen.
+    seen = drawn.select("doc", "key", "text").mapInArrow(look, "g long, lead binary")
+    counted = seen.groupBy("g").count().where(F.col("count") >= share).orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).toArrow()
+    frequent = counted.column("g").to_numpy().astype(np.int64).view(U)
     if words:
-        counted, lead = seen.groupBy("g").count().where(F.col("count") >= share).collect(), []
-    else:
-        counted = seen.groupBy("g").agg(F.count("*").alias("count"), F.first("lead").alias("lead")).where(F.col("count") >= share).collect()
-        lead = [r[0] for r in seen.where(F.pmod(F.xxhash64("lead", "g"), F.lit(16)) == 0).select("lead").collect()]
-    return np.array([r["g"] for r in counted], np.int64).view(U), np.sort(np.array(lead, np.int64).view(U))
+        return frequent, np.zeros(0, "S1")
+    lead = seen.where(F.pmod(F.xxhash64("lead", "g"), F.lit(one_in)) == 0).select("lead").toArrow().column("lead").to_pylist()
+    return frequent, np.sort(np.array(lead, f"S{depth}"))
+
+
+def prefixes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` bytes from each position, as fixed strings; zeros beyond the end."""
+    padded = np.concatenate([buf, np.zeros(depth, np.uint8)])
+    return padded[at[:, None] + np.arange(depth)].view(f"S{depth}")[:, 0]
 
 
 def leading(buf: np.ndarray, at: np.ndarray) -> np.ndarray:

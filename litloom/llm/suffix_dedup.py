@@ -1,14 +1,18 @@
 """Suffix-array deduplication of byte passages.
 
-Suffixes are taken at content-defined anchors, one in about forty bytes, instead of at every
-byte: equal 100-byte strings have equal anchors at equal offsets, and the suffix at an anchor,
-packed with the bytes to its left that its windows need, stands for all of them. Every suffix
-of the text with its first 100 bytes would be about a hundred times the input (an estimate, not measured); anchored ones are about three.
-
-Sampled splitters range-partition the suffixes by their leading eight bytes. Buckets sort them
-locally by multikey quicksort (eight bytes a key, only ties go on to the next key) to
-find neighbours with a common prefix. Splitters compare whole leading keys, so suffixes that
-share a prefix never lie on two sides of a boundary: comparing across boundaries comes down to that rule.
+Suffixes are taken at content-defined anchors, one in about forty bytes: a sparse suffix array. Equal
+100-byte windows have equal anchors at equal offsets. A suffix travels with the bytes to its
+left that its windows need. (With every byte's suffix, 100 bytes each, the shuffle would be about a hundred
+times the text, an estimate, not measured; anchored ones are about three times.)
+
+Sampled splitters, ``DEPTH`` bytes each, range-partition the suffixes. A bucket sorts its suffixes by
+multikey quicksort to the depth of a window and takes the common prefixes of neighbours; the texts to the left of
+the anchors, read backwards, are sorted likewise. A window that reaches ``100 - r`` bytes to the left of its anchor and r to
+the right occurs wherever neighbours share r bytes to the right and 100 - r to the left; the earliest occurrence stays.
+
+Suffixes that share r bytes lie on two sides of a boundary only if its splitter begins with those bytes. Each bucket
+therefore passes on the earliest occurrence of every window whose right part begins a splitter next
+to it, and these are compared across boundaries.
 """
 
 from __future__ import annotations
@@ -20,57 +24,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.anchored import SLICE, U, cover, covered_runs, keyed_rows, leading, sampled_anchors
-from litloom.llm.common import shuffle_width
+from litloom.llm.anchored import SLICE, U, bucket_count, by_document, columns_of, cover, covered_runs, keyed_rows, leading, prefixes, ranges, sampled_anchors, text_bytes
+from litloom.llm.common import shuffle_width, written
 
 LENGTH = 100
 PREFIX = 16
+#: Bytes of a splitter.
+DEPTH = 32
 #: Bytes of documents sampled for splitters and frequent prefixes, and how often a frequent prefix must be seen. Routing only.
 SAMPLE_BYTES = 16 << 20
 FREQUENT = 32
+#: The first 0 to 8 bytes of a key.
+_FIRST = np.array([0, *((1 << 64) - (1 << 8 * (8 - i)) for i in range(1, 9))], U)
 
 
-def multikey_groups(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sorts suffixes by multikey quicksort to the depth of ``size`` bytes and numbers those with equal prefixes.
+def suffix_order(buf: np.ndarray, at: np.ndarray, size: np.ndarray, depth: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): suffixes of ``size`` bytes at ``at`` sorted by multikey quicksort, and the common prefix of each with the one before it.
 
-    One pass sorts by an eight-byte key; each further pass sorts only what is still tied.
+    Each pass sorts what is still tied by the next eight bytes. ``group`` (ascending) keeps suffixes apart.
+    ``buf`` needs ``depth + 8`` bytes after every position. Of suffixes that differ in trailing zero bytes only, shorter ones come first.
     """
-    buf = np.frombuffer(raw, np.uint8)
-    depth = int(size[0]) if len(size) else 0
-    group = np.zeros(len(at), np.int64)
-    tied = np.arange(len(at))
+    order, lcp = np.arange(len(at)), np.zeros(len(at), np.int64)
+    at_rank = np.arange(len(at))
+    part = np.zeros(len(at), np.int64) if group is None else group
+    tied = np.zeros(len(at), bool)
     for d in range(0, depth, 8):
-        if not len(tied):
+        if not len(at_rank):
             break
-        key = leading(buf, at[tied] + min(d, depth - 8))
-        order = np.argsort(key, kind="stable") if d == 0 else np.lexsort((key, group[tied]))
-        tied, key = tied[order], key[order]
-        new = np.ones(len(tied), bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[tied[1:]] != group[tied[:-1]])
-        run = np.cumsum(new) - 1
-        top = int(group.max()) + 1 if d else 0
-        group[tied] = top + run
-        tied = tied[np.bincount(run)[run] > 1]
-    return np.unique(group, return_inverse=True)[1]
-
-
-def find_repeats(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX, slice_bytes: int = SLICE) -> DataFrame:
+        x = order[at_rank]
+        key = leading(buf, at[x] + d) & _FIRST[np.clip(size[x] - d, 0, 8)]
+        by = np.argsort(key, kind="stable") if d == 0 and group is None else np.lexsort((key, part))
+        key = key[by]
+        order[at_rank] = x[by]
+        inner, apart = part[1:] == part[:-1], key[1:] ^ key[:-1]
+        split = np.flatnonzero(inner & (apart != 0))
+        lcp[at_rank[split + 1]] = d + sum((apart[split] < U(1 << 8 * i)).astype(np.int64) for i in range(1, 8))
+        tied = np.zeros(len(at_rank), bool)
+        tied[1:] = inner & (apart == 0)
+        stay = tied.copy()
+        stay[:-1] |= tied[1:]
+        at_rank, part, tied = at_rank[stay], np.cumsum(~tied)[stay], tied[stay]
+    x = order[at_rank]
+    order[at_rank] = x[np.lexsort((size[x], part))]
+    lcp[at_rank[tied]] = depth
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(size[order[1:]], size[order[:-1]]))
+    return order, lcp
+
+
+def _shared(buf: np.ndarray, at: np.ndarray, size: np.ndarray, splitter: bytes | None) -> np.ndarray:
+    """Bytes that each suffix shares with a splitter from the beginning."""
+    if splitter is None:
+        return np.zeros(len(at), np.int64)
+    differ = np.ones((len(at), DEPTH + 1), bool)
+    differ[:, :DEPTH] = buf[at[:, None] + np.arange(DEPTH)] != np.frombuffer(splitter.ljust(DEPTH, b"\0"), np.uint8)
+    return np.minimum(differ.argmax(axis=1), size)
+
+
+def _highest(lcp: np.ndarray) -> np.ndarray:
+    """The longer of the prefixes shared with the neighbours before and behind."""
+    return np.maximum(lcp, np.append(lcp[1:], 0))
+
+
+def decide_bucket(blocks: list[bytes], length: int, prefix: int, lower: bytes | None, upper: bytes | None) -> Iterator[tuple[tuple[np.ndarray, ...], list[bytes] | None]]:
+    """Windows of a bucket that also start earlier in it, as runs; and the earliest ones that may also start beyond ``lower`` or ``upper``."""
+    raw, (size, _, anchor, _, _, ids, keys, pos) = columns_of(blocks)
+    begin = np.cumsum(size) - size
+    text = np.frombuffer(raw, np.uint8)
+    pad = np.zeros(length + 8, np.uint8)
+    buf = np.concatenate([text, pad])
+    right = np.minimum(size - anchor, length)
+    edge = np.maximum(*(_shared(buf, begin + anchor, right, s) for s in (lower, upper)))
+    order, lcp = suffix_order(buf, begin + anchor, right, length)
+    # A window holds its anchor: without neighbour or splitter that shares it there is nothing to compare.
+    some = np.flatnonzero((_highest(lcp) >= prefix) | (edge[order] >= prefix))
+    if not len(some):
+        return
+    x = order[some]
+    to_right = np.where(np.append(False, np.diff(some) == 1), lcp[some], 0)
+    back = np.concatenate([text[::-1], pad])
+    left_order, lcs = suffix_order(back, len(text) - begin[x] - anchor[x], anchor[x], length - prefix, np.cumsum(to_right < prefix))
+    del buf, back, order, lcp
+    left_place = np.empty(len(x), np.int64)
+    left_place[left_order] = np.arange(len(x))
+    # Right parts r of the windows of each string, and those of them that neighbours on both sides may share.
+    low, high = length - anchor[x], right[x]
+    first_r, last_r = np.maximum(low, length - _highest(lcs)[left_place]), np.minimum(high, _highest(to_right))
+    age = np.lexsort((pos[x] + anchor[x], keys[x], ids[x]))
+    place = np.empty(len(x), np.int64)
+    ordered = np.stack([ids[x], keys[x], pos[x] + anchor[x]])[:, age]
+    place[age] = np.cumsum(np.append(True, (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)))
+    first_of, last_of, edge = first_r[age], last_r[age], edge[x]
+    hits, at_r = [], []
+    for r in range(prefix, length + 1):
+        c = age[(first_of <= r) & (r <= last_of)]
+        later = c[:0]
+        if len(c):
+            # Equal numbers: r equal bytes to the right, and equal bytes to the left as far as the window goes.
+            number = np.cumsum(to_right < r)[c] * (len(x) + 1) + np.cumsum(lcs < length - r)[left_place[c]]
+            by = np.argsort(number, kind="stable")
+            c, number = c[by], number[by]
+            head = np.append(True, number[1:] != number[:-1])
+            later = c[place[c] != place[c[np.flatnonzero(head)][np.cumsum(head) - 1]]]
+            hits.append(later)
+            at_r.append(np.full(len(later), r))
+        if r < DEPTH:
+            still = (edge >= r) & (low <= r) & (r <= high)
+            still[later] = False
+            if len(e := np.flatnonzero(still)):
+                start = begin[x[e]] + anchor[x[e]] + r - length
+                windows = [raw[i : i + length] for i in start.tolist()]
+                yield (ids[x[e]], keys[x[e]], pos[x[e]] + anchor[x[e]] + r - length, np.full(len(e), length)), windows
+    if not hits:
+        return
+    who, w = np.concatenate(hits), np.concatenate(at_r)
+    by = np.lexsort((w, who))
+    who, w = who[by], w[by]
+    new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (w[1:] != w[:-1] + 1))[: len(who)])
+    who, w, many = x[who[new]], w[new], np.diff(np.append(new, len(who)))
+    yield (ids[who], keys[who], pos[who] + anchor[who] + w - length, many + length - 1), None
+
+
+def across_boundaries(found: DataFrame) -> DataFrame:
+    """``(doc, key, run)`` of open windows of several buckets that also start earlier. At most one row a bucket and window comes in."""
+    one = F.struct("doc", "key", "run")
+    groups = found.where("window is not null").groupBy("window").agg(F.min(one).alias("least"), F.collect_set(one).alias("all")).where(F.size("all") > 1)
+    return groups.select("least", F.explode("all").alias("one")).where("one <> least").select("one.*")
+
+
+def find_repeats(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX, slice_bytes: int = SLICE, buckets: int | None = None) -> DataFrame:
     """``rows(doc, key, text)`` -> ``(doc, key, runs)``: byte runs, ``first << 24 | bytes``, covered by strings that also start earlier."""
-    if prefix % 8 or not 8 <= prefix <= length:
-        raise ValueError("prefix must be a multiple of 8, at most length")
+    if prefix % 8 or not 8 <= prefix < DEPTH <= length:
+        raise ValueError(f"prefix must be a multiple of 8 below {DEPTH}")
     width = shuffle_width(rows.sparkSession)
     rows = rows.select("doc", "key", "text")
-    frequent, lead = sampled_anchors(rows, length, prefix, False, SAMPLE_BYTES, FREQUENT)
-    buckets = 2 * width
-    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else np.zeros(0, U)
+    total = text_bytes(rows)
+    buckets = buckets or bucket_count(total, width)
+    frequent, lead = sampled_anchors(rows, total, length, prefix, False, SAMPLE_BYTES, FREQUENT, DEPTH, buckets)
+    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else lead
 
     def bucket(buf: np.ndarray, at: np.ndarray, _gram: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splitters, leading(buf, at), "right")
+        return np.searchsorted(splitters, prefixes(buf, at, DEPTH), "right")
 
-    return covered_runs(rows, length, prefix, False, True, bucket, frequent, width, multikey_groups, slice_bytes)
+    def decide(number: int, blocks: list[bytes]) -> Iterator[tuple[tuple[np.ndarray, ...], list[bytes] | None]]:
+        lower = bytes(splitters[number - 1]) if number else None
+        return decide_bucket(blocks, length, prefix, lower, bytes(splitters[number]) if number < len(splitters) else None)
 
+    # Written: read for the verdicts and for the windows at boundaries.
+    found = written(covered_runs(rows, length, prefix, False, True, bucket, decide, frequent, width, slice_bytes), "verdicts")
+    return by_document(found.where("window is null").select("doc", "key", "run").unionByName(across_boundaries(found)))
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, slice_bytes: int = SLICE) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, slice_bytes: int = SLICE, buckets: int | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary).
 
     The first occurrence of a string, by id (null last) and position, stays. Null and empty
@@ -79,7 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are ignored; an empty table gives no rows.
     """
     rows = keyed_rows(docs, id_col, text_col)
-    runs = find_repeats(rows, length, slice_bytes=slice_bytes)
+    runs = find_repeats(rows, length, slice_bytes=slice_bytes, buckets=buckets)
     both = rows.join(runs, ["doc", "key"], "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,4 +204,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """One row per input row, nulls, repeats and empty tables as in ``remove_repeats``."""
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.anchored import SLICE, U, cover, covered_runs, keyed_rows, sampled_anchors
+from litloom.llm.anchored import SLICE, Powers, U, bucket_count, by_document, cover, covered_runs, keyed_rows, repeated_windows, sampled_anchors, text_bytes
 from litloom.llm.common import shuffle_width
 
 WINDOW = 35
@@ -28,13 +28,17 @@ def find_repeats(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     """``rows(doc, key, text)`` -> ``(doc, key, runs)``: covered word runs, ``first << 24 | words``, of rows that have any."""
     width = shuffle_width(rows.sparkSession)
     rows = rows.select("doc", "key", "text")
-    frequent, _ = sampled_anchors(rows, window, minimiser, True, SAMPLE_BYTES, FREQUENT)
-    n = U(2 * width)
+    total = text_bytes(rows)
+    frequent, _ = sampled_anchors(rows, total, window, minimiser, True, SAMPLE_BYTES, FREQUENT, 1, 1)
+    n, powers = U(bucket_count(total, width)), Powers()
 
     def bucket(_buf: np.ndarray, _at: np.ndarray, gram: np.ndarray) -> np.ndarray:
         return (gram % n).astype(np.int64)
 
-    return covered_runs(rows, window, minimiser, True, False, bucket, frequent, width, slice_bytes=slice_bytes)
+    def decide(_number: int, blocks: list[bytes]) -> Iterator[tuple[tuple[np.ndarray, ...], None]]:
+        return ((found, None) for found in repeated_windows(blocks, window, True, powers, slice_bytes))
+
+    return by_document(covered_runs(rows, window, minimiser, True, False, bucket, decide, frequent, width, slice_bytes))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slice_bytes: int = 2 * SLICE) -> DataFrame:
@@ -69,6 +73,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """One row per input row, nulls, repeats and empty tables as in ``remove_repeats``."""
     out = remove_repeats(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
