@@ -116,7 +116,9 @@ def mixed(
     more = F.floor((2 * (F.col("rest") - F.col("ahead")) - F.col("size")) / (2 * F.col("size"))) + 1
     plan = plan.withColumn("more", F.least(F.greatest(more, F.lit(0)), F.col("times"))).where("epochs > 0 or more > 0")
     plan = written(plan.select(*[F.col(c).alias(f"p_{c}") for c in ("doc_id", "text_key", "source", "key", "times", "epochs", "more")]), "plan")
-    same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("text_key") == F.col("p_text_key")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("key") == F.col("p_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("text_key") == F.col("p_text_key")) & F.col("source").eqNullSafe(F.col("p_source"))
+    if quality is not None:  # else the key follows from the text, and words need not be counted again
+        same &= F.col("key") == F.col("p_key")
 
     mine = [c for c in rows.columns if c.startswith("__c")]
 
