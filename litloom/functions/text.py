@@ -17,6 +17,7 @@ TAIL_SHARE = 0.4
 
 def heading_pattern(keywords: tuple[str, ...], group: bool = False) -> str:
     """A heading alone on its line: optional number, keyword, optional plural. ``(?U)``: white space as Unicode has it."""
+    # Fixed value: the form of a heading.
     return rf"(?:^|\n)\s*(?:\d+\.?\s+)?({'' if group else '?:'}{'|'.join(keywords)})s?\s*\n"
 
 

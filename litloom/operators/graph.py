@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,16 @@ def created(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti").agg(F.count("*").alias("n"))
 
 
+def populated(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """``kind, nodes_created, relationships_created``: what edge tables ``new`` add to ``old``; one row a table."""
+    rows = []
+    for table, _, item in EDGES:
+        nodes, edges = created(old[table], new[table], [item]), created(old[table], new[table], ["arxiv_id", item])
+        parts = nodes.select(F.col("n").alias("nodes"), F.lit(0).alias("edges")).unionByName(edges.select(F.lit(0).alias("nodes"), F.col("n").alias("edges")))
+        rows.append(parts.agg(F.lit(table).alias("kind"), F.sum("nodes").alias("nodes_created"), F.sum("edges").alias("relationships_created")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def violations(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that break uniqueness; an intact table gives none."""
     return table.groupBy(*keys).count().where("count > 1")

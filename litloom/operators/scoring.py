@@ -110,3 +110,9 @@ class Gaps:
             F.coalesce("proposed_solutions", F.array().cast("array<string>")).alias("proposed_solutions"),
         )
         return out.orderBy(F.desc("score"), "seed").limit(top_n)
+
+
+def listed(ranking: DataFrame) -> DataFrame:
+    """A ranking as it is shown: ``rank`` from 1 and the numbers of papers and proposals. One row a gap, as many as were asked for."""
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "seed"))
+    return ranking.select(rank.alias("rank"), "*", F.size("supporting_papers").alias("n_papers"), F.size("proposed_solutions").alias("n_solutions"))

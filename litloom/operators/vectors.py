@@ -18,17 +18,16 @@ BROADCAST_VALUES = 8 << 20
 BLOCK = 4096
 
 
-def unit(vector: Column) -> Column:
-    """The vector as doubles of length one; a zero vector stays zero."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine(vector: Column, unit_query: Column) -> Column:
+    """Similarity to a query of length one: one product and one norm a row. A zero vector scores 0."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.coalesce(dot(vector, unit_query) / F.nullif(norm, F.lit(0.0)), F.lit(0.0))
+
+
 def hashing_encoder(dim: int = 64) -> Callable:
     """Offline stand-in for a sentence encoder: hashed word counts, deterministic, loaded once a worker."""
 
@@ -60,7 +59,7 @@ def search(points: DataFrame, query: list[float], top_k: int = 10, domain: str |
     norm = math.sqrt(sum(x * x for x in query)) or 1.0
     q = F.array(*[F.lit(float(x) / norm) for x in query])
     rows = points.where(F.col("domain") == domain) if domain is not None else points
-    return rows.select("text", "paper_ids", "domain", dot(unit(F.col("embedding")), q).alias("score")).orderBy(F.desc("score"), "text", "domain").limit(top_k)
+    return rows.select("text", "paper_ids", "domain", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "text", "domain").limit(top_k)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -83,12 +82,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, broadcast
     def products(l_ids: np.ndarray, a: np.ndarray, r_ids: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         ls, rs, ss = [], [], []
         if len(r_ids) and len(l_ids):
+            # 32 MB of products at a time.
             for at in range(0, len(l_ids), 1024):
-                s = a[at : at + 1024] @ b.T
-                i, j = np.nonzero(s >= threshold)
-                ls.append(l_ids[at + i])
-                rs.append(r_ids[j])
-                ss.append(s[i, j])
+                for to in range(0, len(r_ids), 4096):
+                    s = a[at : at + 1024] @ b[to : to + 4096].T
+                    i, j = np.nonzero(s >= threshold)
+                    ls.append(l_ids[at + i])
+                    rs.append(r_ids[to + j])
+                    ss.append(s[i, j])
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.RecordBatch.from_arrays([pa.array(cat(ls, np.int64)), pa.array(cat(rs, np.int64)), pa.array(cat(ss, np.float64))], ["l", "r", "sim"])
 

@@ -99,6 +99,8 @@ def refresh(store: Store, papers: DataFrame, encode: Callable | None = None) ->
 
 
 def collections(store: Store, encode: Callable) -> DataFrame:
+    """Points of the whole graph; a text that has its vector keeps it, only new ones are encoded."""
     p = store.read("papers")
     both = point_payloads(p, store.read("edges_limitation"), "limitations").unionByName(point_payloads(p, store.read("edges_future"), "future_directions"))
-    return embed(both, encode)
+    known = store.read("points").select("text", "embedding").dropDuplicates(["text"])
+    return both.join(known, "text").unionByName(embed(both.join(known.select("text"), "text", "left_anti"), encode))

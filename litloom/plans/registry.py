@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litloom.functions import records, text
 from litloom.operators import cluster, crossdomain, graph, vectors
-from litloom.operators.scoring import Gaps, frequency, mode_text, recency
+from litloom.operators.scoring import Gaps, frequency, listed, mode_text, recency
 from litloom.plans import bindings as b
 from litloom.plans import ingest
 from litloom.sources import connectors, store
+from litloom.sources.shared import fresh_dir
 
 CV, MI = "computer_vision", "medical_imaging"
 #: Thresholds fit to the random 64-value test vectors; the operators' defaults fit a real encoder.
@@ -244,13 +247,13 @@ def insert_absent(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string(list_slice(string_split(text, chr(10)), 1, 3), '|') END AS items FROM documents""")
+SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string(string_split(text, chr(10)), '|') END) AS items FROM documents""")
 def list_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Three lines as a JSON list and back; every fifth list is cut short and reads as empty."""
+    """The lines of a text as a JSON list and back; every fifth list is cut short and reads as empty."""
     docs = b.table(spark, d, "documents")
-    j = records.list_to_json(F.slice(F.split("text", "\n"), 1, 3))
+    j = records.list_to_json(F.split("text", "\n"))
     stored = F.when(F.col("doc_id") % 5 == 0, F.expr("substring('[\"broken', 1, 8)")).otherwise(j)
-    return docs.select("doc_id", F.array_join(records.list_from_json(stored), "|").alias("items"))
+    return docs.select("doc_id", F.md5(F.array_join(records.list_from_json(stored), "|")).alias("items"))
 
 
 _PAGES = "['page ' || i || chr(10) || CASE WHEN i = doc_id % 5 AND doc_id % 4 = 0 THEN '5. Limitations' || chr(10) WHEN i = doc_id % 5 AND doc_id % 4 = 1 THEN 'Conclusion' || chr(10) ELSE '' END || 'body of ' || doc_id FOR i IN range(5)]"
@@ -294,15 +297,15 @@ def health(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN left(text, 40) WHEN doc_id % 4 = 1 THEN '' ELSE 'short' END AS abstract, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 2020 END AS year FROM documents WHERE doc_id % 4 <> 3""")
+SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN '' ELSE 'short' END) AS abstract, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 2020 END AS year FROM documents WHERE doc_id % 4 <> 3""")
 def metadata_shape(spark: SparkSession, d: str) -> DataFrame:
     """Abstract, else the short summary, else empty; a missing year is 0; items without id are dropped."""
     i = F.col("doc_id")
     raw = b.table(spark, d, "documents").select(
         F.when(i % 4 != 3, i.cast("string")).alias("arxiv_id"), F.lit("t").alias("title"), F.when(i % 6 != 0, 2020).alias("year"),
-        F.when(i % 4 == 0, F.left("text", F.lit(40))).otherwise("").alias("abstract"), F.struct(F.when(i % 4 == 2, "short").alias("text")).alias("tldr"),
+        F.when(i % 4 == 0, F.col("text")).otherwise("").alias("abstract"), F.struct(F.when(i % 4 == 2, "short").alias("text")).alias("tldr"),
     )
-    return connectors.shaped_metadata(raw.where("arxiv_id is not null")).select(F.col("arxiv_id").cast("long").alias("doc_id"), "abstract", "year")
+    return connectors.shaped_metadata(raw.where("arxiv_id is not null")).select(F.col("arxiv_id").cast("long").alias("doc_id"), F.md5("abstract").alias("abstract"), "year")
 
 
 @query("""
@@ -324,18 +327,100 @@ def validate_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_rules("""
-, l AS (SELECT DISTINCT a.text, z.vec_id % 5 AS item FROM edges a JOIN edges z ON a.arxiv_id = z.arxiv_id WHERE a.vec_id % 3 <> 0 AND z.vec_id % 3 = 0 AND a.vec_id < 60)
+, l AS (SELECT DISTINCT a.text, z.vec_id % 5 AS item FROM edges a JOIN edges z ON a.arxiv_id = z.arxiv_id WHERE a.vec_id % 3 <> 0 AND z.vec_id % 3 = 0)
 SELECT a.text, z.text AS other_text, count(*) AS shared FROM l a JOIN l z ON a.item = z.item AND a.text < z.text GROUP BY ALL"""))
 def shared_methods(spark: SparkSession, d: str) -> DataFrame:
     """Two-hop traversal: limitations of papers that share a method."""
     e = b.edges(spark, d)
     methods = e.where("vec_id % 3 = 0").select("arxiv_id", (F.col("vec_id") % 5).alias("name"))
-    return graph.texts_sharing(e.where("vec_id % 3 <> 0 and vec_id < 60").select("arxiv_id", "text"), methods, "name")
+    return graph.texts_sharing(e.where("vec_id % 3 <> 0").select("arxiv_id", "text"), methods, "name")
 
 
-@query("SELECT 0 AS violations")
+@query(with_rules("""
+SELECT (SELECT count(*) FROM papers WHERE doc_id % 10 = 0) + (SELECT count(*) FROM edges WHERE vec_id % 7 = 0) AS violations"""))
 def graph_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of papers and edges that are not unique: none."""
+    """Keys of papers and edges that are not unique: every tenth paper and the edges of every seventh vector are there twice."""
+    p, e = b.papers(spark, d), b.edges(spark, d)
+    bad = graph.violations(p.unionByName(p.where("doc_id % 10 = 0")), ["arxiv_id"]).select("count")
+    bad = bad.unionByName(graph.violations(e.unionByName(e.where("vec_id % 7 = 0")), ["arxiv_id", "text"]).select("count"))
+    return bad.agg(F.count("*").alias("violations"))
+
+
+@query(with_rules("""
+, item AS (SELECT arxiv_id, CASE WHEN vec_id % 3 <> 0 THEN 'edges_limitation' ELSE 'edges_future' END AS kind, text AS item, doc FROM (SELECT *, CAST(arxiv_id AS BIGINT) AS doc FROM edges)
+  UNION ALL SELECT arxiv_id, 'edges_method', 'method ' || doc_id % 97, doc_id FROM papers UNION ALL SELECT arxiv_id, 'edges_dataset', 'data ' || doc_id % 89, doc_id FROM papers WHERE doc_id % 4 = 1),
+was AS (SELECT * FROM item WHERE doc % 4 = 0)
+SELECT kind, CAST(count(DISTINCT item) FILTER (WHERE NOT EXISTS (SELECT 1 FROM was WHERE was.kind = item.kind AND was.item = item.item)) AS BIGINT) AS nodes_created,
+ CAST(count(DISTINCT (arxiv_id, item)) FILTER (WHERE doc % 4 <> 0) AS BIGINT) AS relationships_created FROM item GROUP BY kind"""))
+def populate_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a graph of all papers adds to the graph of every fourth, methods and data sets included."""
     e = b.edges(spark, d)
-    bad = graph.violations(b.papers(spark, d), ["arxiv_id"]).select("count").unionByName(graph.violations(e, ["arxiv_id", "text"]).select("count"))
-    return bad.agg(F.count("*").cast("int").alias("violations"))
+    lists = e.groupBy("arxiv_id").agg(F.collect_list(F.when(F.col("vec_id") % 3 != 0, F.col("text"))).alias("limitations"), F.collect_list(F.when(F.col("vec_id") % 3 == 0, F.col("text"))).alias("future_directions"))
+    i = F.col("doc_id")
+    p = b.papers(spark, d).join(lists, "arxiv_id").withColumn("methods", F.array(F.concat(F.lit("method "), i % 97), F.lit(""), F.concat(F.lit("method "), i % 97)))
+    p = p.withColumn("datasets", F.when(i % 4 == 1, F.array(F.concat(F.lit("data "), i % 89))).otherwise(F.array().cast("array<string>"))).withColumnRenamed("tier", "extraction_tier")
+    old = graph.build_graph(p.where("doc_id % 4 = 0"))
+    return graph.populated(old, graph.build_graph(p, old))
+
+
+@query(with_rules(_SCORED + """
+SELECT row_number() OVER (ORDER BY score DESC, seed) AS rank, gap_description, len(string_split(supporting_papers, ',')) AS n_papers,
+ CASE WHEN proposed_solutions = '' THEN 0 ELSE len(string_split(proposed_solutions, ',')) END AS n_solutions FROM gaps"""))
+def gap_list(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks and numbers of papers and proposals."""
+    return listed(_gaps(spark, d).ranking(20)).select("rank", "gap_description", "n_papers", "n_solutions")
+
+
+@query("""
+SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN left('Limitations' || chr(10) || 'x' || repeat(md5(text), 200), 3998)
+  WHEN 1 THEN left('2. Conclusion' || chr(10) || repeat(md5(text) || 'limitation', 150), 3999) WHEN 2 THEN left('future work ' || repeat(md5(text), 200), 4000) ELSE '' END) AS section
+FROM documents WHERE text IS NOT NULL""")
+def section_of_text(spark: SparkSession, d: str) -> DataFrame:
+    """A heading before others in priority, a numbered heading before mentions, a mention without heading, none.
+
+    The cut at 4,000 characters counts the line breaks before a heading, which are stripped afterwards.
+    """
+    i, t = F.col("doc_id"), F.md5("text")
+    made = F.when(i % 4 == 0, F.concat(F.lit("Discussion\nabc\n\nLimitations\nx"), F.repeat(t, F.lit(200))))
+    made = made.when(i % 4 == 1, F.concat(F.lit("some limitation here\n2. Conclusion\n"), F.repeat(F.concat(t, F.lit("limitation")), F.lit(150))))
+    made = made.when(i % 4 == 2, F.concat(F.lit("we leave this to future work "), F.repeat(t, F.lit(200)))).otherwise(F.concat(F.lit("nothing "), t))
+    rows = b.table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", F.md5(text.section_from_text(made)).alias("section"))
+
+
+@query(f"""
+SELECT doc_id, sha256('In two or three sentences, say why the proposal could help with the problem.' || chr(10) || 'Problem in computer vision: ' || text
+ || chr(10) || 'Proposal from medical imaging: ' || doc_id) AS prompt FROM documents WHERE text IS NOT NULL""")
+def explain_prompt(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", F.sha2(text.explain_prompt(F.col("text"), F.col("doc_id").cast("string"), F.lit(CV), F.lit(MI)), 256).alias("prompt"))
+
+
+@query("""
+SELECT count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0) AS ingested, count(*) FILTER (WHERE doc_id % 3 = 0) AS skipped,
+ count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0) + count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 5 = 0) AS failed,
+ count(*) FILTER (WHERE doc_id % 3 = 0 OR doc_id % 7 <> 0) AS papers, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0) AS broken,
+ count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 5 = 0) AS twice,
+ 2 * count(*) FILTER (WHERE doc_id % 3 = 0 OR doc_id % 7 <> 0) AS edges FROM documents""")
+def ingest_run(spark: SparkSession, d: str) -> DataFrame:
+    """A store with every third paper, then a batch of all, some twice, some with broken responses: sections, prompts, extraction, validation, graph."""
+    @F.pandas_udf("string")
+    def model(prompts: pd.Series) -> pd.Series:
+        def one(p: str) -> str:
+            n = int(p.split("Title: Paper ")[1].split("\n")[0])
+            found = {f: [] for f in records.LIST_FIELDS} | {"limitations": [f"limit {n}"], "future_directions": ["later", ""]}
+            return "```json\n" + json.dumps(found) + "\n```" if n % 7 or n % 3 == 0 else '{"methods": 1}'
+
+        return prompts.map(one)
+
+    docs = b.papers(spark, d).join(b.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("abstract")), "doc_id")
+    stubs = docs.select("doc_id", "arxiv_id", "title", "year", "abstract", F.lit(None).cast("array<string>").alias("pages"))
+    kept = store.Store(spark, fresh_dir(spark, "store"))
+    ingest.ingest(kept, stubs.where("doc_id % 3 = 0").drop("doc_id"), model)
+    batch = stubs.unionByName(stubs.where("doc_id % 5 = 0 and doc_id % 3 <> 0")).drop("doc_id")
+    out = ingest.ingest(kept, batch, model)
+    counts = [kept.read("papers").agg(F.count("*").alias("papers")), kept.read("failures").agg(F.count_if(F.col("stage") == "extraction").alias("broken"), F.count_if(F.col("reason") == "duplicate").alias("twice"))]
+    edges = kept.read("edges_limitation").select("arxiv_id").unionByName(kept.read("edges_future").select("arxiv_id")).agg(F.count("*").alias("edges"))
+    for c in (*counts, edges):
+        out = out.join(F.broadcast(c), F.lit(True))  # one row each
+    return out

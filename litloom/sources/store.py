@@ -1,46 +1,62 @@
-"""Parquet store with snapshot versions: a table is the newest complete version of its folder.
+"""Parquet store with snapshot versions: a table is its newest whole version and the parts added since.
 
-Writers never touch a version that readers may hold; an upsert writes the next one. A version
-counts once Spark has put ``_SUCCESS`` there, so a lost writer leaves nothing visible.
+Writers never touch a folder that readers may hold: an append writes only its own rows (``d=N``), an upsert the next
+whole version (``v=N``). A folder counts once Spark has put ``_SUCCESS`` there, so a lost writer
+leaves nothing visible. After ``MOST_PARTS`` appends the next one writes a whole version.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litloom.sources.schema import TABLES
 
 
+#: Parts beside the whole version before they are put together.
+MOST_PARTS = 16
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, table: str) -> list[int]:
+    def _versions(self, table: str) -> list[tuple[int, str]]:
+        """Number and name of the folders that make up the table, in order."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
         names = [s.getPath() for s in fs.listStatus(path)]
         done = [p.getName() for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in done if n.startswith("v="))
+        found = sorted((int(n[2:]), n) for n in done if n[:2] in ("v=", "d="))
+        whole = max((i for i, (_, n) in enumerate(found) if n[0] == "v"), default=0)
+        return found[whole:]
 
     def exists(self, table: str) -> bool:
         return bool(self._versions(table))
 
     def read(self, table: str) -> DataFrame:
         """The table, or an empty one with its schema."""
-        v = self._versions(table)
-        if not v:
+        parts = [self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}/{n}") for _, n in self._versions(table)]
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}/v={v[-1]}")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def _next(self, table: str) -> int:
+        return max((n for n, _ in self._versions(table)), default=0) + 1
 
     def replace(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        version = (self._versions(table) or [0])[-1] + 1
-        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/v={version}")
+        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/v={self._next(table)}")
 
     def append(self, table: str, df: DataFrame) -> None:
-        self.replace(table, self.read(table).unionByName(df, allowMissingColumns=True))
+        """Writes the new rows only."""
+        if len(self._versions(table)) > MOST_PARTS:
+            self.replace(table, self.read(table).unionByName(df, allowMissingColumns=True))
+        else:
+            df.write.parquet(f"{self.root}/{table}/d={self._next(table)}")
 
     def insert_absent(self, table: str, df: DataFrame, key: str) -> None:
         """Rows whose key is not there yet; columns new to the table are added."""
@@ -55,10 +71,12 @@ def absent(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Whole rows replaced by key; columns of either side are kept, absent ones null."""
+    """Whole rows replaced by key; columns of either side are kept, absent ones null. Of repeated new keys one row stays, the same each time."""
+    new = new.withColumn("__tie", F.xxhash64(*new.columns))
+    old = old.withColumn("__tie", F.lit(0).cast("long"))
     both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(key).orderBy(F.desc("__v"))
-    return both.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__v", "__n")
+    last = Window.partitionBy(key).orderBy(F.desc("__v"), "__tie")
+    return both.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__v", "__n", "__tie")
 
 
 def by_key(papers: DataFrame, arxiv_id: str) -> DataFrame:

@@ -173,3 +173,29 @@ def test_shared_methods(spark):
     papers, edges, _ = world(spark)
     got = graph.texts_sharing(edges["edges_limitation"].select("arxiv_id", "text"), edges["edges_method"], "name").collect()
     assert [(r.text, r.other_text, r.shared) for r in got] == [("lim two", "limitation one", 1)]
+
+
+def test_search_at_the_encoder_s_dimension(spark):
+    """768 values a vector: similarity of every point, a zero vector included, as numpy has it."""
+    import numpy as np
+
+    from litloom.operators import vectors
+
+    m = np.random.default_rng(2).standard_normal((300, 768)).astype(np.float32)
+    m[7] = 0
+    q = m[3].tolist()
+    points = spark.createDataFrame([(f"t{i:03}", ["p"], "d", m[i].tolist()) for i in range(300)], "text string, paper_ids array<string>, domain string, embedding array<float>")
+    got = {r.text: r.score for r in vectors.search(points, q, 300).collect()}
+    unit = m.astype(float) / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-300)
+    assert all(abs(got[f"t{i:03}"] - unit[i] @ unit[3]) < 1e-9 for i in range(300))
+
+
+def test_store_appends_only_new_rows(spark, tmp_path, monkeypatch):
+    from litloom.sources import store as st
+
+    monkeypatch.setattr(st, "MOST_PARTS", 3)
+    kept = st.Store(spark, f"file://{tmp_path}/s")
+    for i in range(6):
+        kept.append("failures", spark.createDataFrame([(None, str(i), "s", "r", "x")], "ts timestamp, arxiv_id string, stage string, reason string, raw string"))
+    assert sorted(r.arxiv_id for r in kept.read("failures").collect()) == list("012345")
+    assert [n for _, n in kept._versions("failures")] == ["v=5", "d=6"]
