@@ -396,10 +396,14 @@ def by_gram(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip(at.tolist(), (at + size).tolist(), strict=True)), np.int64, len(at))
 
 
-def columns_of(blocks: list[bytes]) -> tuple[bytes, list[np.ndarray]]:
-    """All strings of a bucket and their columns."""
-    texts, columns = zip(*map(unpack, blocks), strict=True)
-    return b"".join(texts), [np.concatenate(c).astype(np.int64) for c in zip(*columns, strict=True)]
+def columns_of(blocks: list[bytes], pad: int = 0) -> tuple[bytes, list[np.ndarray]]:
+    """All strings of a bucket between ``pad`` zeros, and their columns. The blocks are given up."""
+    texts, columns = [], []
+    while blocks:
+        text, cols = unpack(blocks.pop())
+        texts.append(text)
+        columns.append(cols)
+    return b"".join([bytes(pad), *texts, bytes(pad)]), [np.concatenate(c).astype(np.int64) for c in zip(*columns, strict=True)]
 
 
 def repeated_windows(blocks: list[bytes], k: int, words: bool, powers: Powers, limit: int = SLICE) -> Iterator[tuple[np.ndarray, ...]]:

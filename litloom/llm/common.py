@@ -2,59 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litloom.sources.shared import fresh_dir, remove, scratch, shared_dir, written  # noqa: F401  used by the operators
+
 #: Stands for a null integer id wherever ids are ordered: null ids come last.
 NULL_ID = 2**63 - 1
-#: Used only on one machine (master ``local``) where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints/litloom"
-#: Folders made by ``written`` since the innermost ``scratch`` began.
-_MADE: list[list[str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Without it a cluster is refused."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or FALLBACK_DIR).rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/litloom-{label}-{uuid.uuid4().hex}"
-    if _MADE:
-        _MADE[-1].append(path)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the intermediate folders made within it; results must have been written elsewhere by its end."""
-    _MADE.append([])
-    try:
-        yield
-    finally:
-        for path in _MADE.pop():
-            remove(spark, path)
-
-
 def dealt(width: int) -> list[int]:
     """An int for each partition that ``repartition(width, col)`` deals to it: the inverse of Spark's hash of ints.
 
@@ -107,11 +68,6 @@ def is_dir(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def id_key(col: str | Column) -> Column:
     """Integer id with null mapped behind every other id."""
     c = F.col(col) if isinstance(col, str) else col

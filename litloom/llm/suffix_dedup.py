@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.anchored import SLICE, U, bucket_count, by_document, columns_of, cover, covered_runs, keyed_rows, leading, prefixes, ranges, sampled_anchors, text_bytes
+from litloom.llm.anchored import SLICE, U, bucket_count, by_document, columns_of, cover, covered_runs, keyed_rows, leading, prefixes, sampled_anchors, text_bytes
 from litloom.llm.common import shuffle_width, written
 
 LENGTH = 100
@@ -72,12 +72,15 @@ def suffix_order(buf: np.ndarray, at: np.ndarray, size: np.ndarray, depth: int,
 
 
 def _shared(buf: np.ndarray, at: np.ndarray, size: np.ndarray, splitter: bytes | None) -> np.ndarray:
-    """Bytes that each suffix shares with a splitter from the beginning."""
-    if splitter is None:
-        return np.zeros(len(at), np.int64)
-    differ = np.ones((len(at), DEPTH + 1), bool)
-    differ[:, :DEPTH] = buf[at[:, None] + np.arange(DEPTH)] != np.frombuffer(splitter.ljust(DEPTH, b"\0"), np.uint8)
-    return np.minimum(differ.argmax(axis=1), size)
+    """Bytes that each suffix shares with a splitter from the beginning; 0 for fewer than eight."""
+    out = np.zeros(len(at), np.int64)
+    if splitter is not None:
+        whole = np.frombuffer(splitter.ljust(DEPTH, b"\0"), np.uint8)
+        some = np.flatnonzero(leading(buf, at) == leading(whole, np.zeros(1, np.int64))[0])
+        differ = np.ones((len(some), DEPTH + 1), bool)
+        differ[:, :DEPTH] = buf[at[some][:, None] + np.arange(DEPTH)] != whole
+        out[some] = np.minimum(differ.argmax(axis=1), size[some])
+    return out
 
 
 def _highest(lcp: np.ndarray) -> np.ndarray:
@@ -87,11 +90,11 @@ def _highest(lcp: np.ndarray) -> np.ndarray:
 
 def decide_bucket(blocks: list[bytes], length: int, prefix: int, lower: bytes | None, upper: bytes | None) -> Iterator[tuple[tuple[np.ndarray, ...], list[bytes] | None]]:
     """Windows of a bucket that also start earlier in it, as runs; and the earliest ones that may also start beyond ``lower`` or ``upper``."""
-    raw, (size, _, anchor, _, _, ids, keys, pos) = columns_of(blocks)
-    begin = np.cumsum(size) - size
-    text = np.frombuffer(raw, np.uint8)
-    pad = np.zeros(length + 8, np.uint8)
-    buf = np.concatenate([text, pad])
+    # Zeros at both ends, so that the bytes can be read past either end without a copy.
+    pad = length + 8
+    raw, (size, _, anchor, _, _, ids, keys, pos) = columns_of(blocks, pad)
+    begin = np.cumsum(size) - size + pad
+    buf = np.frombuffer(raw, np.uint8)
     right = np.minimum(size - anchor, length)
     edge = np.maximum(*(_shared(buf, begin + anchor, right, s) for s in (lower, upper)))
     order, lcp = suffix_order(buf, begin + anchor, right, length)
@@ -101,9 +104,8 @@ def decide_bucket(blocks: list[bytes], length: int, prefix: int, lower: bytes |
         return
     x = order[some]
     to_right = np.where(np.append(False, np.diff(some) == 1), lcp[some], 0)
-    back = np.concatenate([text[::-1], pad])
-    left_order, lcs = suffix_order(back, len(text) - begin[x] - anchor[x], anchor[x], length - prefix, np.cumsum(to_right < prefix))
-    del buf, back, order, lcp
+    left_order, lcs = suffix_order(buf[::-1], len(buf) - begin[x] - anchor[x], anchor[x], length - prefix, np.cumsum(to_right < prefix))
+    del order, lcp
     left_place = np.empty(len(x), np.int64)
     left_place[left_order] = np.arange(len(x))
     # Right parts r of the windows of each string, and those of them that neighbours on both sides may share.
