@@ -10,31 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from litloom.llm import decontam, hilbert, knn_quality, mixing, simhash
-from litloom.llm.common import table, written
+from litloom.llm.common import fresh_dir, remove, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents the classifier accepts."""
+    """Keeps the documents the classifier accepts. Null and empty texts score the share of good labels; repeated rows fare alike."""
     return knn_quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id (five-word shingles, similarity 0.8)."""
+    """Keeps of each group of near-duplicates the document with the smallest id (five-word shingles, similarity 0.8).
+
+    Null ids come last; null and empty texts are one group; unrelated documents under one id stay each.
+    """
     return simhash.one_per_component(docs, simhash.similar_documents(docs, words=5, similarity=0.8))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which no benchmark window occurs."""
+    """Keeps the documents in which no benchmark window occurs; null and empty texts stay."""
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that the sources meet their target weights."""
+    """Repeats or leaves out documents so that the sources meet their target weights; texts without words go; a null source is one of its own."""
     return mixing.mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document in one of eight shards along the Hilbert curve."""
+    """Places every document in one of eight shards along the Hilbert curve; nulls have places of their own."""
     return hilbert.shard(docs)
 
 
@@ -51,7 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written besides its result goes when the result is there, and the result when the next one is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_dir(spark, f"stage-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
