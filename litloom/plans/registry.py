@@ -368,7 +368,8 @@ SELECT row_number() OVER (ORDER BY score DESC, seed) AS rank, gap_description, l
  CASE WHEN proposed_solutions = '' THEN 0 ELSE len(string_split(proposed_solutions, ',')) END AS n_solutions FROM gaps"""))
 def gap_list(spark: SparkSession, d: str) -> DataFrame:
     """Ranks and numbers of papers and proposals."""
-    return listed(_gaps(spark, d).ranking(20)).select("rank", "gap_description", "n_papers", "n_solutions")
+    out = listed(_gaps(spark, d).ranking(20))
+    return out.select("gap_description", *[F.col(c).cast("long").alias(c) for c in ("rank", "n_papers", "n_solutions")])
 
 
 @query("""
