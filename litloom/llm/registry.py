@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litloom.llm import chat_collapse, decontam, exact_stream, hilbert, knn_quality, mixing, secret_scan, simhash, suffix_dedup, superkmer
+from litloom.llm import chat_collapse, decontam, exact_stream, hilbert, kd_clusters, knn_quality, minmax_hash, mixing, product_codes, secret_scan, simhash, suffix_dedup, superkmer, vector_sql
 from litloom.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_hash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_decontamination, op3_hilbert_sharding, op4_exact_dedup, op5_mixing, op6_substring_dedup, op7_quality, op8_chat_collapse, op9_secret_scan, op10_suffix_dedup, pipeline)
+    f.__name__: f for f in (op1_simhash, op2_decontamination, op3_hilbert_sharding, op4_exact_dedup, op5_mixing, op6_substring_dedup, op7_quality, op8_chat_collapse, op9_secret_scan, op10_suffix_dedup, op11_kd_clusters, op12_minmax_hash, op13_product_codes, pipeline)
 }
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -109,4 +121,17 @@ kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILT
 SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """,
+    "op11_kd_clusters": vector_sql.clusters(),
+    "op12_minmax_hash": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM t WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(b, doc_id)) AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+""",
+    "op13_product_codes": vector_sql.codes(),
 }
