@@ -5,7 +5,8 @@ items that own each of them, and the words they come from. Tasks hash the word w
 same rolling hash (vectorised) and look them up; a hit is verified word for word.
 
 The set is broadcast only in blocks of bounded size. A benchmark above the bound is cut into
-several blocks, each scanned in a pass of its own over the rows; an item above it is cut into parts that share windows.
+several blocks, each scanned in a pass of its own that writes the texts hit and nothing else; they are joined to the rows once, before
+the last block. An item above the bound is cut into parts that share windows.
 """
 
 from __future__ import annotations
@@ -69,12 +70,16 @@ class WindowTable:
         return -1
 
 
+def ordered(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 class NgramIndex:
     """Windows of ``n`` words (or a shorter item's whole sequence) of ``(item, text)`` pairs."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], n: int) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], n: int) -> None:
         self.n = n
-        self.items = sorted({item for item, _ in items})
+        self.items = ordered({item for item, _ in items})
         number = {item: i for i, item in enumerate(self.items)}
         parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
         texts, size, powers = [], 0, Powers()
@@ -94,7 +99,19 @@ class NgramIndex:
         text = b"".join(texts)
         self.tables = [WindowTable(k, text, *(np.concatenate(c) for c in zip(*v, strict=True))) for k, v in sorted(parts.items())]
 
-    def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    def plain(self) -> dict:
+        """What a broadcast carries: plain arrays, as broadcasts go by reference and workers may lack this module."""
+        return vars(self) | {"tables": [vars(t) for t in self.tables]}
+
+    @staticmethod
+    def of(plain: dict) -> NgramIndex:
+        index = NgramIndex.__new__(NgramIndex)
+        vars(index).update(plain | {"tables": [WindowTable.__new__(WindowTable) for _ in plain["tables"]]})
+        for t, v in zip(index.tables, plain["tables"], strict=True):
+            vars(t).update(v)
+        return index
+
+    def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str | None]]]:
         """For each text its number of words, the word windows hit as (start, end), and the items, sorted."""
         count = [0] * len(texts)
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -123,7 +140,7 @@ class NgramIndex:
                         entries[i].add((t, at))
         return [(c, s, self._owners(e)) for c, s, e in zip(count, spans, entries, strict=True)]
 
-    def _owners(self, entries: set[tuple[int, int]]) -> list[str]:
+    def _owners(self, entries: set[tuple[int, int]]) -> list[str | None]:
         if not entries:
             return []
         tables = [(self.tables[t], at) for t, at in entries]
@@ -168,19 +185,35 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit: i
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: str, item_col: str, item_text: str, n: int, block_bytes: int) -> DataFrame:
     """Columns ``names`` as ``__c0``, .. and ``__n, __spans, __items`` of every row."""
-    none = [F.lit(0).cast("long").alias("__n"), F.array().cast("array<bigint>").alias("__spans"), F.array().cast("array<string>").alias("__items")]
-    have = docs.select(*renamed(names), text_of(text_col).cast("binary").alias("__text"), *none)
+    spans, items = F.col("__spans"), F.col("__items")
+    empty = [F.array().cast("array<bigint>"), F.array().cast("array<string>")]
+    text = text_of(text_col).cast("binary").alias("__text")
     blocks = _blocks(benchmark, item_col, item_text, n, block_bytes)
-    for at, block in enumerate(blocks):
-        # At most ``block_bytes`` of text, see _blocks.
-        items = [("null" if r["item"] is None else r["item"], bytes(r["t"])) for r in block.collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(NgramIndex(items, n))
-        last = at == len(blocks) - 1
-        schema = T.StructType([f for f in have.schema.fields if not (last and f.name == "__text")])
-        have = have.mapInArrow(_scanner(shared, last), schema)
-        if not last:
-            have = written(have, "scan")
-    return have
+    hits = None
+    for block in blocks[:-1]:
+        shared = _index(block, n)
+        # Hits depend on the text alone, so texts hit are written under their digest, and no other column.
+        once = docs.select(text, *(e.alias(c) for e, c in zip(empty, ("__spans", "__items"), strict=True)), F.lit(0).cast("long").alias("__n"))
+        found = once.mapInArrow(_scanner(shared, False), once.schema).where(F.size(spans) > 0)
+        found = written(found.select(F.sha2("__text", 256).alias("__hit"), spans, items).dropDuplicates(["__hit"]), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+        shared.unpersist()
+    have = docs.select(*renamed(names), text)
+    if hits is None:
+        have = have.withColumns({"__spans": empty[0], "__items": empty[1]})
+    else:
+        hits = hits.groupBy("__hit").agg(F.flatten(F.collect_list(spans)).alias("__spans"), F.flatten(F.collect_list(items)).alias("__items"))
+        have = have.join(hits, F.sha2("__text", 256) == F.col("__hit"), "left").drop("__hit")
+        have = have.withColumns({"__spans": F.coalesce(spans, empty[0]), "__items": F.coalesce(items, empty[1])})
+    have = have.withColumn("__n", F.lit(0).cast("long"))
+    schema = T.StructType([f for f in have.schema.fields if f.name != "__text"])
+    return have.mapInArrow(_scanner(_index(blocks[-1], n), True), schema)
+
+
+def _index(block: DataFrame, n: int):
+    """Broadcast set of a block: at most ``block_bytes`` of text, see ``_blocks``."""
+    items = [(r["item"], bytes(r["t"])) for r in block.collect()]
+    return block.sparkSession.sparkContext.broadcast(NgramIndex(items, n).plain())
 
 
 def scan(
@@ -191,7 +224,7 @@ def scan(
 
     ``hit_spans`` holds maximal runs of hit words as (start, end), end exclusive; ``hit_items``
     the ids of items with an occurring window. A null or empty text has no words and no hit; an
-    item without words has no window; a null item id reads "null"; repeated items are one. An empty benchmark
+    item without words has no window; a null item id reads "null" and is an item of its own, beside one named so; repeated items are one. An empty benchmark
     hits nothing. Columns of the added names in ``docs`` are replaced; see ``without_contaminated`` to keep them.
     """
     names = without(keep or docs.columns, ADDED)
@@ -199,23 +232,23 @@ def scan(
     low = F.lit((1 << _SPAN_BITS) - 1)
     spans = F.transform("__spans", lambda s: F.struct(F.shiftright(s, _SPAN_BITS).alias("start"), s.bitwiseAND(low).alias("end")))
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s.bitwiseAND(low) - F.shiftright(s, _SPAN_BITS))
-    return have.select(*given(names), F.col("__n").alias("n_words"), n_hit.alias("n_hit"), spans.alias("hit_spans"), F.col("__items").alias("hit_items"))
+    return have.select(*given(names), F.col("__n").alias("n_words"), n_hit.alias("n_hit"), spans.alias("hit_spans"), F.transform("__items", lambda i: F.coalesce(i, F.lit("null"))).alias("hit_items"))
 
 
 def _scanner(shared, drop_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = NgramIndex.of(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 found = index.scan([t.as_py() for t in part.column("__text")])
                 old = part.column("__spans").to_pylist()
                 ids = part.column("__items").to_pylist()
-                spans = [merged([divmod(s, 1 << _SPAN_BITS) for s in o] + x[1]) if x[1] else None for o, x in zip(old, found, strict=True)]
+                spans = [merged([divmod(s, 1 << _SPAN_BITS) for s in o] + x[1]) for o, x in zip(old, found, strict=True)]
                 new = {
                     "__n": pa.array([x[0] for x in found], pa.int64()),
-                    "__spans": pa.array([o if s is None else [(a << _SPAN_BITS) | e for a, e in s] for o, s in zip(old, spans, strict=True)], pa.list_(pa.int64())),
-                    "__items": pa.array([sorted({*o, *x[2]}) if x[2] else o for o, x in zip(ids, found, strict=True)], pa.list_(pa.string())),
+                    "__spans": pa.array([[(a << _SPAN_BITS) | e for a, e in s] for s in spans], pa.list_(pa.int64())),
+                    "__items": pa.array([ordered({*o, *x[2]}) for o, x in zip(ids, found, strict=True)], pa.list_(pa.string())),
                 }
                 names = [c for c in part.schema.names if not (drop_text and c == "__text")]
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names)

@@ -223,6 +223,14 @@ def test_items_longer_than_a_block_and_windows_of_many_items(spark):
         assert got == {0: (14, 12, 1), 1: (9, 0, 0), 2: (10, 10, 398), 3: (3000, 3000, 1)}
 
 
+def test_null_item_and_one_named_null(spark):
+    bench = spark.createDataFrame([(None, "one two"), ("null", "three four"), ("x", "one two")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "three four"), (3, "one two")], "doc_id long, text string")
+    for limit in (decontam.BLOCK_BYTES, 80):
+        got = {r.doc_id: r.hit_items for r in decontam.scan(docs, bench, block_bytes=limit).collect()}
+        assert {d: sorted(i) for d, i in got.items()} == {1: ["null", "null", "x"], 2: ["null"], 3: ["null", "x"]}
+
+
 # 3 -----------------------------------------------------------------------------------------
 
 
