@@ -12,6 +12,9 @@ from litloom.sources.schema import DEFAULT_DOMAIN, DEFAULT_TIER
 #: Edge table, list column of a paper, name of the item column.
 EDGES = (("edges_limitation", "limitations", "text"), ("edges_future", "future_directions", "text"), ("edges_method", "methods", "name"), ("edges_dataset", "datasets", "name"))
 
+#: Edge tables whose texts get vectors, and the collections these go to.
+COLLECTIONS = {"edges_limitation": "limitations", "edges_future": "future_directions"}
+
 
 def edges_of(papers: DataFrame, list_col: str, item: str) -> DataFrame:
     """One edge per paper and distinct item; empty and null items are dropped. Limitation edges carry the tier."""
@@ -65,12 +68,22 @@ def limitation_records(papers: DataFrame, edges: DataFrame, domain: str) -> Data
     return edges.join(own, "arxiv_id").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("arxiv_id", "year", "tier"))).alias("papers"))
 
 
-def point_payloads(papers: DataFrame, edges: DataFrame, collection: str) -> DataFrame:
-    """``collection, text, domain, paper_ids, year``: one row per text and domain, year the largest known or 0."""
+def mentions_of(papers: DataFrame, edges: DataFrame, collection: str) -> DataFrame:
+    """``text, collection, arxiv_id, domain, year``: one row per edge of the given papers; an unknown year is null."""
     domain = F.coalesce(F.nullif("domain", F.lit("")), F.lit(DEFAULT_DOMAIN))
     own = papers.select("arxiv_id", domain.alias("domain"), F.nullif("year", F.lit(0)).alias("year"))
-    rows = edges.join(own, "arxiv_id").groupBy("text", "domain").agg(F.array_sort(F.collect_list("arxiv_id")).alias("paper_ids"), F.coalesce(F.max("year"), F.lit(0)).alias("year"))
-    return rows.select(F.lit(collection).alias("collection"), "text", "domain", "paper_ids", "year")
+    return edges.join(own, "arxiv_id").select("text", F.lit(collection).alias("collection"), "arxiv_id", "domain", "year")
+
+
+def collected(mentions: DataFrame) -> DataFrame:
+    """``collection, text, domain, paper_ids, year``: one row per text and domain, year the largest known or 0."""
+    rows = mentions.groupBy("collection", "text", "domain").agg(F.array_sort(F.collect_list("arxiv_id")).alias("paper_ids"), F.coalesce(F.max("year"), F.lit(0)).alias("year"))
+    return rows.select("collection", "text", "domain", "paper_ids", "year")
+
+
+def point_payloads(papers: DataFrame, edges: DataFrame, collection: str) -> DataFrame:
+    """The payloads of a collection, from whole tables."""
+    return collected(mentions_of(papers, edges, collection))
 
 
 def papers_per_domain(papers: DataFrame) -> DataFrame:

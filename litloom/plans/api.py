@@ -72,4 +72,4 @@ def explain(pairs: DataFrame, model: Callable) -> DataFrame:
 
 
 def paper(store: Store, arxiv_id: str) -> DataFrame:
-    return by_key(store.read("papers"), arxiv_id)
+    return by_key(store.lookup("papers", arxiv_id) if store.exists("papers") else store.read("papers"), arxiv_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 
 from litloom.functions import text as tx
 from litloom.functions.records import LIST_FIELDS, validated
-from litloom.operators.graph import EDGES, build_graph, point_payloads
+from litloom.operators.graph import COLLECTIONS, EDGES, build_graph, collected, edges_of, mentions_of, populated, upsert_edges
 from litloom.operators.vectors import embed
 from litloom.sources.schema import DEFAULT_DOMAIN
 from litloom.sources.shared import written
-from litloom.sources.store import Store
+from litloom.sources.store import Store, Transaction
 
 RAW_KEPT = 500
 
@@ -47,8 +48,9 @@ def extract(papers: DataFrame, extractor: Callable) -> DataFrame:
 
 def plan_batch(stubs: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``status``: ``skipped`` for stored ids, ``duplicate`` for repeats within the batch, else ``new``."""
-    first = Window.partitionBy("arxiv_id").orderBy("__at")
-    rows = stubs.withColumn("__at", F.monotonically_increasing_id()).withColumn("__n", F.row_number().over(first))
+    # Written: the order of the rows is taken once, as the plan is read several times.
+    rows = written(stubs.withColumn("__at", F.monotonically_increasing_id()), "batch")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("arxiv_id").orderBy("__at")))
     known = stored.select("arxiv_id").distinct().withColumn("__known", F.lit(True))
     status = F.when(F.col("__known"), "skipped").when(F.col("__n") > 1, "duplicate").otherwise("new")
     return rows.join(known, "arxiv_id", "left").withColumn("status", status).drop("__at", "__n", "__known")
@@ -60,47 +62,91 @@ def summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(n("ingested")("ingested"), n("skipped")("skipped"), n("failed", "duplicate")("failed"))
 
 
-def ingest(store: Store, stubs: DataFrame, extractor: Callable, domain: str = DEFAULT_DOMAIN, mode: str = "insert", publish: bool = True, encode: Callable | None = None) -> DataFrame:
+def ingest(
+    store: Store, stubs: DataFrame, extractor: Callable, domain: str = DEFAULT_DOMAIN, mode: str = "insert", publish: bool = True,
+    encode: Callable | None = None, stream: tuple[str, int] | None = None,
+) -> DataFrame:
     """Runs a batch and returns its summary.
 
     ``stubs(arxiv_id, title, year, abstract, pages)``. ``insert`` leaves stored papers untouched,
     ``upsert`` replaces them. A paper that fails goes to ``failures`` and stops nothing. With ``publish`` the
-    graph (and, given an encoder, the points) follows if anything was ingested.
+    graph (and, given an encoder, the points) follows if anything was ingested. Papers, failures, graph and points
+    become visible together: after a failure anywhere the store is as before and the batch can be run again.
+    A micro-batch ``stream`` (name, number) that has been committed before changes nothing and counts nothing.
     """
     if mode not in ("insert", "upsert"):
         raise ValueError("mode must be insert or upsert")
-    ids = F.regexp_replace("arxiv_id", r"(?U)^\s+|\s+\z", "")
-    stored = store.read("papers")
-    batch = plan_batch(stubs.withColumn("arxiv_id", ids), stored if mode == "insert" else stored.limit(0))
-    done = written(extract(batch.where("status = 'new'"), extractor), "extracted")
-    good = done.where("reason is null")
-    rows = good.select(
-        "arxiv_id", "title", F.coalesce("year", F.lit(0)).cast("int").alias("year"), F.lit(domain).alias("domain"), *LIST_FIELDS, "raw_json",
-        F.current_timestamp().alias("ingested_at"), "extraction_tier",
-    )
-    bad = done.where("reason is not null").select(F.current_timestamp().alias("ts"), "arxiv_id", F.lit("extraction").alias("stage"), "reason", F.substring("response", 1, RAW_KEPT).alias("raw"))
-    twice = batch.where("status = 'duplicate'").select(F.current_timestamp().alias("ts"), "arxiv_id", F.lit("batch").alias("stage"), F.lit("duplicate").alias("reason"), F.lit(None).cast("string").alias("raw"))
-    status = done.select(F.when(F.col("reason").isNull(), "ingested").otherwise("failed").alias("status")).unionByName(batch.where("status <> 'new'").select("status"))
-    out = written(summary(status), "summary")
-    (store.upsert if mode == "upsert" else store.insert_absent)("papers", rows, "arxiv_id")
-    store.append("failures", bad.unionByName(twice))
-    if publish and out.first()["ingested"]:
-        refresh(store, rows, encode)
+    with store.transaction(stream) as t:
+        if t.seen:
+            return summary(store.spark.createDataFrame([], "status string"))
+        batch = stubs.withColumn("arxiv_id", F.regexp_replace("arxiv_id", r"(?U)^\s+|\s+\z", ""))
+        batch = written(batch, "stubs")
+        stored = t.read("papers", batch) if mode == "insert" else t.read("papers").limit(0)
+        batch = written(plan_batch(batch, stored), "planned")
+        done = extract(batch.where("status = 'new'"), extractor).withColumn("at", F.current_timestamp())
+        done = written(done, "extracted")
+        rows = done.where("reason is null").select(
+            "arxiv_id", "title", F.coalesce("year", F.lit(0)).cast("int").alias("year"), F.lit(domain).alias("domain"), *LIST_FIELDS, "raw_json",
+            F.col("at").alias("ingested_at"), "extraction_tier",
+        )
+        bad = done.where("reason is not null").select(F.col("at").alias("ts"), "arxiv_id", F.lit("extraction").alias("stage"), "reason", F.substring("response", 1, RAW_KEPT).alias("raw"))
+        twice = batch.where("status = 'duplicate'").select(F.current_timestamp().alias("ts"), "arxiv_id", F.lit("batch").alias("stage"), F.lit("duplicate").alias("reason"), F.lit(None).cast("string").alias("raw"))
+        status = done.select(F.when(F.col("reason").isNull(), "ingested").otherwise("failed").alias("status")).unionByName(batch.where("status <> 'new'").select("status"))
+        out = written(summary(status), "summary")
+        counts = out.first()
+        if counts["ingested"]:
+            (t.upsert if mode == "upsert" else t.insert_absent)("papers", rows, "arxiv_id")
+        if counts["failed"]:
+            t.append("failures", bad.unionByName(twice))
+        if counts["ingested"] and publish:
+            refresh(t, rows, encode)
     return out
 
 
-def refresh(store: Store, papers: DataFrame, encode: Callable | None = None) -> None:
-    """Upserts the graph of ``papers`` and rebuilds both point collections from the whole graph."""
-    old = {name: store.read(name) for name, _, _ in EDGES}
-    for name, df in build_graph(papers, old).items():
-        store.replace(name, df)
-    if encode is not None:
-        store.replace("points", collections(store, encode), ("collection", "domain"))
+def refresh(t: Transaction, papers: DataFrame, encode: Callable | None = None) -> None:
+    """Upserts the graph of ``papers`` and what points depend on it; only buckets of these papers and of their texts are read and written."""
+    for name, col, item in EDGES:
+        t.merge(name, edges_of(papers, col, item), "arxiv_id", lambda old, new, item=item: upsert_edges(old, new, item))
+    ids = papers.select("arxiv_id")
+    changed = [mentions_of(papers, t.read(name, ids), collection) for name, collection in COLLECTIONS.items()]
+    changed = written(reduce(DataFrame.unionByName, changed), "mentions")
+    t.merge("mentions", changed, "text", lambda old, new: old.join(new, ["text", "collection", "arxiv_id"], "left_anti").unionByName(new))
+    if encode is None:
+        t.notes["points_behind"] = True
+    elif t.notes.pop("points_behind", False):
+        _encode(t, t.read("mentions"), encode)
+    else:
+        texts = changed.select("text", "collection").distinct()
+        _encode(t, t.read("mentions", texts).join(texts, ["text", "collection"], "left_semi"), encode)
 
 
-def collections(store: Store, encode: Callable) -> DataFrame:
-    """Points of the whole graph; a text that has its vector keeps it, only new ones are encoded."""
-    p = store.read("papers")
-    both = point_payloads(p, store.read("edges_limitation"), "limitations").unionByName(point_payloads(p, store.read("edges_future"), "future_directions"))
-    known = store.read("points").select("text", "embedding").dropDuplicates(["text"])
-    return both.join(known, "text").unionByName(embed(both.join(known.select("text"), "text", "left_anti"), encode))
+def _encode(t: Transaction, mentions: DataFrame, encode: Callable) -> None:
+    """Points of all texts of ``mentions`` (which has every mention of each); a text that has its vector keeps it, only new ones are encoded."""
+    fresh = written(collected(mentions), "payloads")
+    known = t.read("points", fresh).select("text", "embedding").dropDuplicates(["text"])
+    points = fresh.join(known, "text").unionByName(embed(fresh.join(known.select("text"), "text", "left_anti"), encode))
+    t.merge("points", points, "text", lambda old, new: old.join(new, ["text", "collection"], "left_anti").unionByName(new, allowMissingColumns=True))
+
+
+def populate(store: Store, mode: str = "append", encode: Callable | None = None) -> DataFrame:
+    """Builds the graph (and, given an encoder, the points) of all stored papers; one row a table: ``kind, nodes_created, relationships_created``.
+
+    ``append`` adds to the graph that is there, so running it again creates nothing; ``rebuild`` starts anew.
+    """
+    with store.transaction() as t:
+        papers = t.read("papers")
+        old = {name: store.read(name) for name, _, _ in EDGES}
+        new = build_graph(papers, old, mode)
+        counts = written(populated(old, new), "populated")
+        for name, _, _ in EDGES:
+            t.recreate(name, new[name], "arxiv_id")
+        every = [mentions_of(papers, t.read(name), collection) for name, collection in COLLECTIONS.items()]
+        t.recreate("mentions", reduce(DataFrame.unionByName, every), "text")
+        if encode is None:
+            t.notes["points_behind"] = True
+        else:
+            t.notes.pop("points_behind", None)
+            payloads = collected(t.read("mentions"))
+            known = t.read("points").select("text", "embedding").dropDuplicates(["text"])
+            t.recreate("points", payloads.join(known, "text").unionByName(embed(payloads.join(known.select("text"), "text", "left_anti"), encode)), "text")
+    return counts

@@ -9,6 +9,7 @@ FAILURE = "ts timestamp, arxiv_id string, stage string, reason string, raw strin
 EDGE_LIMITATION = "arxiv_id string, text string, tier string"
 EDGE_TEXT = "arxiv_id string, text string"
 EDGE_NAME = "arxiv_id string, name string"
+MENTION = "text string, collection string, arxiv_id string, domain string, year int"
 POINT = "collection string, text string, domain string, paper_ids array<string>, year int, embedding array<float>"
 TABLES = {
     "papers": PAPER,
@@ -17,6 +18,7 @@ TABLES = {
     "edges_future": EDGE_TEXT,
     "edges_method": EDGE_NAME,
     "edges_dataset": EDGE_NAME,
+    "mentions": MENTION,
     "points": POINT,
 }
 #: Defaults of absent fields.

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only on one machine (master ``local``) where the session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/litloom"
-#: Folders made by ``written`` since the innermost ``scratch`` began.
-_MADE: list[list[str]] = []
+#: Folders made since the innermost ``scratch`` of this thread began; other threads have their own.
+_MADE: ContextVar[list[str] | None] = ContextVar("litloom_made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/litloom-{label}-{uuid.uuid4().hex}"
-    if _MADE:
-        _MADE[-1].append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -38,15 +40,54 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the intermediate folders made within it; results must have been written elsewhere by its end."""
-    _MADE.append([])
+    """Deletes the intermediate folders this thread makes within it; results must have been written elsewhere by its end."""
+    made: list[str] = []
+    token = _MADE.set(made)
     try:
         yield
     finally:
-        for path in _MADE.pop():
+        _MADE.reset(token)
+        for path in made:
             remove(spark, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    p, fs = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that must not be there yet appears whole, by renaming; False if it is there."""
+    p, fs = _at(spark, path)
+    folder, name = path.rsplit("/", 1)
+    held, _ = _at(spark, f"{folder}/_{name}-{uuid.uuid4().hex}")
+    out = fs.create(held, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.exists(p) and fs.rename(held, p):
+        return True
+    fs.delete(held, False)
+    return False
+
+
+def text_in(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    p, fs = _at(spark, path)
+    source = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
