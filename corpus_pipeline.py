@@ -8,9 +8,13 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from litloom.llm import decontam, hilbert, knn_quality, mixing, simhash
-from litloom.llm.common import fresh_dir, remove, scratch, table
+from litloom.llm.common import fresh_dir, quoted, remove, scratch, table, written
+
+#: Column of the classifier's score within a stage.
+SCORE = "__pipeline_score"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +36,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that the sources meet their target weights; texts without words go; a null source is one of its own."""
-    return mixing.mixed(docs)
+    """Repeats or leaves out documents so that the sources meet their target weights; texts without words go; a null source is one of its own.
+
+    The classifier's score is the quality weight of the draw. A stage returns the columns of documents alone, so it is
+    computed anew, by the model of the first stage.
+    """
+    model = knn_quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    # Written: a score may differ in its last bits between runs, and the draw is made from it twice.
+    scored = written(knn_quality.score(docs, model, SCORE), "scored")
+    return mixing.mixed(scored, quality=F.col(SCORE)).select(*[quoted(c) for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
