@@ -1,35 +1,42 @@
 """Seed-anchored clustering: items in rank order; an unassigned item seeds a cluster and takes
 every unassigned item similar enough to itself.
 
-The seeds are the lexicographically first maximal independent set of the link graph, found in
-parallel rounds (Blelloch, Fineman and Shun 2012). Few links are handled by the plain
-loop in one task; both give the same clusters.
+The seeds are the lexicographically first maximal independent set of the link graph, found in parallel
+rounds (after Blelloch, Fineman and Shun 2012) over blocks of consecutive ranks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.sources.shared import written
 
-#: Links up to which one task runs the loop; it holds no more than these.
-LOOP_LINKS = 200_000
+#: Links of a block, on average, and blocks at least: small tables end in that many rounds.
+LINKS_A_BLOCK, LEAST_BLOCKS = 200_000, 8
+OPEN, SEED, MEMBER = 0, 1, 2
 
 
 def ranked(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``rank`` from 1: longest text first, then by text.
 
-    Lengths are counted first; ranks come from the counts of longer texts and the order among
-    texts of one length, so no task sorts the whole table.
+    One range shuffle by sampled bounds of length and text; a row's rank is its place in its partition after the rows of
+    earlier partitions. Texts of one length are dealt out by their order, so no task holds them all.
     """
-    rows = texts.withColumn("__len", F.length(text_col))
-    counts = rows.groupBy("__len").agg(F.count("*").alias("__n"))
-    longer = Window.orderBy(F.desc("__len")).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("__len", F.coalesce(F.sum("__n").over(longer), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__len").orderBy(text_col)
-    return rows.join(before, "__len").withColumn("rank", F.col("__before") + F.row_number().over(within)).drop("__len", "__before")
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.length(text_col).desc(), F.col(text_col).asc())
+    rows = texts.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    # Spark's id of a row: the partition's number above 33 bits, its place there below.
+    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    counts = rows.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(before), F.shiftright("__at", 33) == F.col("__part")).withColumn("rank", F.col("__before") + place + 1).drop("__at", "__part", "__before")
 
 
 def _loop(items: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,32 +61,77 @@ def _loop(items: DataFrame, links: DataFrame) -> DataFrame:
     return items.select("rank").join(decided, "rank", "left").select("rank", F.coalesce("seed", "rank").alias("seed"))
 
 
-def _rounds(items: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Each round: items without an undecided or seed in-neighbour become seeds, what seeds reach becomes members."""
-    free, live = items.select("rank"), links
-    seeds = items.sparkSession.createDataFrame([], "rank long")
-    for _ in range(max_rounds):
-        new = written(free.join(live.select(F.col("dst").alias("rank")), "rank", "left_anti"), "seeds")
-        taken = live.join(new, live["src"] == new["rank"]).select(F.col("dst").alias("rank")).distinct()
-        free = written(free.join(new, "rank", "left_anti").join(taken, "rank", "left_anti"), "free")
-        seeds = seeds.unionByName(new)
-        live = written(live.join(free, live["src"] == free["rank"], "left_semi").join(free, live["dst"] == free["rank"], "left_semi"), "live")
-        if free.isEmpty():
+def _local_rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, dst, src, state) sorted by block and dst -> items the rule decides with what a block knows: ``rank, state``.
+
+    An item linked to a seed is a member, one linked to members only a seed; with an undecided link of an earlier block it waits.
+    Holds the decisions of one block."""
+    block, item, seed, waits = None, None, False, False
+    known: dict[int, int] = {}
+    ranks: list[int] = []
+    states: list[int] = []
+
+    def decide() -> None:
+        if item is not None and (seed or not waits):
+            known[item] = MEMBER if seed else SEED
+            ranks.append(item)
+            states.append(known[item])
+
+    for b in batches:
+        for at, dst, src, state in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if dst != item or at != block:
+                decide()
+                if at != block:
+                    block = at
+                    known.clear()
+                item, seed, waits = dst, False, False
+            state = state or known.get(src, OPEN)
+            seed = seed or state == SEED
+            waits = waits or state == OPEN
+        yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(states, pa.int32())], ["rank", "state"])
+        ranks.clear()
+        states.clear()
+    decide()
+    yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(states, pa.int32())], ["rank", "state"])
+
+
+def _rounds(items: DataFrame, links: DataFrame, links_a_block: int = LINKS_A_BLOCK) -> DataFrame:
+    """Blocks of consecutive ranks decide what they can at once and in order; decisions reach later blocks before the next round.
+
+    The k-th block depends on earlier ones alone, so it is through after k rounds, whatever the links; as a rule few are needed.
+    """
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = items.agg(F.max("rank")).first()[0] or 1
+    links = written(links, "links")
+    blocks = max(LEAST_BLOCKS, -(-links.count() // links_a_block))
+    first = written(items.select("rank").join(links.select(F.col("dst").alias("rank")), "rank", "left_anti"), "first-seeds")
+    seeds = [first]
+    state = F.when(F.col("rank").isNotNull(), SEED).otherwise(OPEN).cast("int")
+    block = F.floor((F.col("dst") - 1) * blocks / F.lit(top)).cast("int")
+    live = written(links.join(first, links["src"] == first["rank"], "left").select(block.alias("block"), "dst", "src", state.alias("state")), "live")
+    for _ in range(blocks + 1):
+        if live.isEmpty():
             break
+        dealt = live.repartition(width, "block").sortWithinPartitions("block", "dst")
+        found = written(dealt.mapInArrow(_local_rule, "rank long, state int"), "decided")
+        seeds.append(found.where(F.col("state") == SEED).select("rank"))
+        news = found.select(F.col("rank").alias("src"), F.col("state").alias("now"))
+        live = live.join(found.select(F.col("rank").alias("dst")), "dst", "left_anti").join(news, "src", "left")
+        live = written(live.select("block", "dst", "src", F.coalesce("now", "state").alias("state")), "live")
+    else:
+        raise RuntimeError(f"clusters not decided in {blocks + 1} rounds")
+    seeds = reduce(DataFrame.unionByName, seeds)
     reached = links.join(seeds, links["src"] == seeds["rank"], "left_semi").groupBy("dst").agg(F.min("src").alias("seed"))
     lone = seeds.select("rank", F.col("rank").alias("seed"))
     members = reached.join(seeds, reached["dst"] == seeds["rank"], "left_anti").select(F.col("dst").alias("rank"), "seed")
     return lone.unionByName(members)
 
 
-def seed_clusters(items: DataFrame, pairs: DataFrame, threshold: float, method: str = "auto") -> DataFrame:
+def seed_clusters(items: DataFrame, pairs: DataFrame, threshold: float, method: str = "rounds") -> DataFrame:
     """``items(rank)``, ``pairs(l, r, sim)`` between ranks (l's hits) -> ``(rank, seed)``; singletons kept.
 
-    ``method``: ``loop``, ``rounds`` or ``auto`` (loop while links are at most ``LOOP_LINKS``).
+    ``method``: ``rounds``, or ``loop``, the plain rule in one task, to compare with.
     """
     links = pairs.where((F.col("sim") >= threshold) & (F.col("l") < F.col("r"))).select(F.col("l").cast("long").alias("src"), F.col("r").cast("long").alias("dst")).distinct()
     items = items.select(F.col("rank").cast("long").alias("rank"))
-    if method == "auto":
-        links = written(links, "cluster-links")
-        method = "loop" if links.count() <= LOOP_LINKS else "rounds"
     return _loop(items, links) if method == "loop" else _rounds(items, links)

@@ -65,7 +65,7 @@ class Gaps:
     the restriction to the domain; None does not cut.
     """
 
-    def __init__(self, papers: DataFrame, edges: DataFrame, points: DataFrame, domain: str, cluster_threshold: float = CLUSTER_THRESHOLD, solution_threshold: float = SOLUTION_THRESHOLD, current_year: int = CURRENT_YEAR, neighbour_limit: str | None = None, method: str = "auto") -> None:
+    def __init__(self, papers: DataFrame, edges: DataFrame, points: DataFrame, domain: str, cluster_threshold: float = CLUSTER_THRESHOLD, solution_threshold: float = SOLUTION_THRESHOLD, current_year: int = CURRENT_YEAR, neighbour_limit: str | None = None, method: str = "rounds") -> None:
         self.domain, self.current_year = domain, current_year
         self.total_papers = papers.where(F.col("domain") == domain).count()
         self.records = written(ranked(limitation_records(papers, edges, domain)), "records")

@@ -199,3 +199,34 @@ def test_store_appends_only_new_rows(spark, tmp_path, monkeypatch):
         kept.append("failures", spark.createDataFrame([(None, str(i), "s", "r", "x")], "ts timestamp, arxiv_id string, stage string, reason string, raw string"))
     assert sorted(r.arxiv_id for r in kept.read("failures").collect()) == list("012345")
     assert [n for _, n in kept._versions("failures")] == ["v=5", "d=6"]
+
+
+def test_a_long_chain_is_clustered_in_tens_of_rounds(spark):
+    """A hundred thousand items, each linked to the next: every decision depends on the one before."""
+    n = 100_000
+    pairs = spark.range(1, n).select(F.col("id").alias("l"), (F.col("id") + 1).alias("r"), F.lit(0.9).alias("sim"))
+    got = seed_clusters(spark.range(1, n + 1).toDF("rank"), pairs, 0.86)
+    assert got.count() == n
+    wrong = got.where(F.col("seed") != F.when(F.col("rank") % 2 == 1, F.col("rank")).otherwise(F.col("rank") - 1))
+    assert wrong.isEmpty()
+
+
+def test_blocks_equal_the_loop(spark):
+    """Many small blocks, a hot item linked to all, and dense links."""
+    from litloom.operators import cluster
+
+    rng = np.random.default_rng(4)
+    n = 400
+    rows = {(int(a), int(b)) for a, b in rng.integers(1, n + 1, (900, 2)) if a < b} | {(a, n) for a in range(1, n)} | {(200, b) for b in range(201, n + 1)}
+    items, links = spark.range(1, n + 1).toDF("rank"), spark.createDataFrame(sorted(rows), "src long, dst long")
+    want = {r["rank"]: r["seed"] for r in cluster._loop(items, links).collect()}
+    for size in (20, 100_000):
+        assert {r["rank"]: r["seed"] for r in cluster._rounds(items, links, size).collect()} == want
+
+
+def test_texts_of_one_length_are_ranked_over_partitions(spark):
+    rows = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    got = ranked(rows).withColumn("part", F.spark_partition_id())
+    assert got.groupBy("part").count().count() > 1
+    texts = [r.text for r in got.orderBy("rank").select("text").collect()]
+    assert texts == sorted(texts) and got.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first() == (1, 200_000, 200_000)
