@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litloom.functions.text import round4
 from litloom.operators.cluster import ranked, seed_clusters
 from litloom.operators.graph import limitation_records
-from litloom.operators.vectors import materialised_pairs, neighbours, similar_pairs
+from litloom.operators.vectors import materialised_pairs, similar_pairs
 from litloom.sources.shared import written
 
 # Fixed values of the scoring rule.
@@ -77,7 +77,7 @@ class Gaps:
             self.pairs = materialised_pairs(left, self.vectors.select(F.col("rank").alias("r"), "vec"), cluster_threshold)
         else:
             every = limitations.select("text", "domain", F.col("embedding").alias("vec"), F.xxhash64("text", "domain").alias("r"))
-            hits = neighbours(similar_pairs(left, every.select("r", "vec"), cluster_threshold), max(1, self.records.count()))
+            hits = similar_pairs(left, every.select("r", "vec"), cluster_threshold, limit=max(1, self.records.count()))
             ids = every.select("r", "text").join(self.records.select("text", "rank"), "text")
             self.pairs = written(hits.join(ids, "r").select("l", F.col("rank").alias("r"), "sim"), "pairs")
         self.clusters = written(seed_clusters(self.records, self.pairs, cluster_threshold, method), "clusters")

@@ -230,3 +230,56 @@ def test_texts_of_one_length_are_ranked_over_partitions(spark):
     assert got.groupBy("part").count().count() > 1
     texts = [r.text for r in got.orderBy("rank").select("text").collect()]
     assert texts == sorted(texts) and got.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first() == (1, 200_000, 200_000)
+
+
+def brute_pairs(a, b, t, limit=None):
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    s = unit(a) @ unit(b).T
+    out = []
+    for i, row in enumerate(s):
+        hits = sorted((-x, j) for j, x in enumerate(row) if x >= t)
+        out += [(i, j, round(-x, 9) + 0.0) for x, j in hits[:limit]]
+    return sorted(out)
+
+
+def clustered(rng, n, groups, dim, spread):
+    centres = rng.standard_normal((groups, dim))
+    m = centres[rng.integers(groups, size=n)] + spread * rng.standard_normal((n, dim))
+    m[5] = m[9] = 0  # no direction
+    m[6] = m[7]
+    return np.round(m, 3)
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+@pytest.mark.parametrize("t", [0.9, 0.0, -1.0])
+def test_blocks_around_pivots_lose_nothing(spark, t, limit):
+    rng = np.random.default_rng(11)
+    a, b = clustered(rng, 90, 6, 8, 0.05), clustered(rng, 110, 6, 8, 0.05)
+    frames = [spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{c} long, vec array<double>") for m, c in ((a, "l"), (b, "r"))]
+    for broadcast in (1 << 20, 0):
+        got = vectors.similar_pairs(*frames, t, broadcast_values=broadcast, block=9, limit=limit)
+        key = [(r.l, r.r, round(r.sim, 9) + 0.0) for r in got.collect()]
+        want = brute_pairs(a, b, t, limit)
+        if limit is None:
+            assert sorted(key) == want
+        else:  # equal similarities may round apart
+            assert [(x[0], round(x[2], 6)) for x in sorted(key, key=lambda x: (x[0], -x[2]))] == [(x[0], round(x[2], 6)) for x in sorted(want, key=lambda x: (x[0], -x[2]))]
+
+
+def test_most_blocks_of_clustered_vectors_are_skipped(spark):
+    rng = np.random.default_rng(12)
+    m = clustered(rng, 600, 12, 16, 0.02)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, vec array<double>")
+    left, right = df.select(F.col("id").alias("l"), "vec"), df.select(F.col("id").alias("r"), "vec")
+    cells = {t: vectors._cells(left, right, t, 25).select("cell").distinct().count() for t in (0.9, -1.0)}
+    assert cells[0.9] < cells[-1.0] / 5
+
+
+def test_hits_within_a_task_are_the_best(spark):
+    rng = np.random.default_rng(13)
+    l, r, sim = rng.integers(0, 5, 200), np.arange(200), rng.integers(0, 4, 200) / 4
+    order = sorted(zip(l.tolist(), (-sim).tolist(), r.tolist(), strict=True))
+    want = [x for k in range(5) for x in [o for o in order if o[0] == k][:7]]
+    assert [tuple(x) for x in zip(*(v.tolist() for v in vectors.best(l, r, sim, 7)), strict=True)] == [(a, c, -b) for a, b, c in want]
+    out = list(vectors.products(np.arange(3), np.eye(3), np.arange(9000), np.ones((9000, 3)), 0.5, 4))
+    assert sum(b.num_rows for b in out) == 12 and out[0].column(1).to_pylist()[:4] == [0, 1, 2, 3]
