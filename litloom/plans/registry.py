@@ -52,10 +52,12 @@ def _query_vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
 
 
 R4 = "floor({} * 10000 + 0.5) / 10000"
+_PAIRS = f"""pairs AS MATERIALIZED (SELECT a.r AS src, z.r AS dst, list_cosine_similarity(a.vec, z.vec) AS sim
+  FROM limv a JOIN limv z ON a.r < z.r WHERE list_cosine_similarity(a.vec, z.vec) >= {T}),"""
 _RANKED = f"""
 , lim AS MATERIALIZED (SELECT text, any_value(vec_id) AS vec_id, row_number() OVER (ORDER BY length(text) DESC, text) AS r FROM edges WHERE vec_id % 3 <> 0 AND domain = '{CV}' GROUP BY text),
 limv AS MATERIALIZED (SELECT lim.*, CAST(embedding AS DOUBLE[]) AS vec FROM lim JOIN embeddings USING (vec_id)),
-pairs AS MATERIALIZED (SELECT a.r AS src, z.r AS dst, list_cosine_similarity(a.vec, z.vec) AS sim FROM limv a JOIN limv z ON a.r < z.r WHERE list_cosine_similarity(a.vec, z.vec) >= {T}),
+{_PAIRS}
 inn AS MATERIALIZED (SELECT r, list(src) FILTER (WHERE src IS NOT NULL) AS ins FROM lim LEFT JOIN pairs ON dst = r GROUP BY r),
 walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS seeds
          UNION ALL SELECT i + 1, CASE WHEN list_has_any(coalesce(ins, CAST([] AS BIGINT[])), seeds) THEN seeds ELSE list_append(seeds, r) END FROM walk JOIN inn ON inn.r = walk.i + 1),
@@ -104,7 +106,7 @@ SELECT vec_id, other, pos FROM (SELECT a.vec_id, z.vec_id AS other, row_number()
 FROM embeddings a, embeddings z WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) >= {T}) WHERE pos <= 5""")
 def knn_per_query(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "embeddings")
-    pairs = vectors.similar_pairs(e.select(F.col("vec_id").alias("l"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("r"), F.col("embedding").alias("vec")), T)
+    pairs = vectors.similar_pairs(e.select(F.col("vec_id").alias("l"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("r"), F.col("embedding").alias("vec")), T, limit=5)
     return vectors.neighbours(pairs, 5).select(F.col("l").alias("vec_id"), F.col("r").alias("other"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -425,3 +427,6 @@ def ingest_run(spark: SparkSession, d: str) -> DataFrame:
     for c in (*counts, edges):
         out = out.join(F.broadcast(c), F.lit(True))  # one row each
     return out
+
+
+from litloom.plans import registry_api  # noqa: E402, F401  registers its queries here
