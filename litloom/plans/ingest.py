@@ -14,6 +14,7 @@ from litloom.functions import text as tx
 from litloom.functions.records import LIST_FIELDS, validated
 from litloom.operators.graph import COLLECTIONS, EDGES, build_graph, collected, edges_of, mentions_of, populated, upsert_edges
 from litloom.operators.vectors import embed
+from litloom.sources import live
 from litloom.sources.schema import DEFAULT_DOMAIN
 from litloom.sources.shared import written
 from litloom.sources.store import Store, Transaction
@@ -68,7 +69,7 @@ def ingest(
 ) -> DataFrame:
     """Runs a batch and returns its summary.
 
-    ``stubs(arxiv_id, title, year, abstract, pages)``. ``insert`` leaves stored papers untouched,
+    ``stubs(arxiv_id, title, year, abstract, pages)``; one with an ``error`` (see ``sources.live``) counts as failed. ``insert`` leaves stored papers untouched,
     ``upsert`` replaces them. A paper that fails goes to ``failures`` and stops nothing. With ``publish`` the
     graph (and, given an encoder, the points) follows if anything was ingested. Papers, failures, graph and points
     become visible together: after a failure anywhere the store is as before and the batch can be run again.
@@ -83,7 +84,11 @@ def ingest(
         batch = written(batch, "stubs")
         stored = t.read("papers", batch) if mode == "insert" else t.read("papers").limit(0)
         batch = written(plan_batch(batch, stored), "planned")
-        done = extract(batch.where("status = 'new'"), extractor).withColumn("at", F.current_timestamp())
+        new = batch.where("status = 'new'")
+        if "error" not in batch.columns:
+            new = new.withColumn("error", F.lit(None).cast("string"))
+        lost = new.where("error is not null").select(F.current_timestamp().alias("ts"), "arxiv_id", F.lit("fetch").alias("stage"), F.col("error").alias("reason"), F.lit(None).cast("string").alias("raw"))
+        done = extract(new.where("error is null"), extractor).withColumn("at", F.current_timestamp())
         done = written(done, "extracted")
         rows = done.where("reason is null").select(
             "arxiv_id", "title", F.coalesce("year", F.lit(0)).cast("int").alias("year"), F.lit(domain).alias("domain"), *LIST_FIELDS, "raw_json",
@@ -92,17 +97,29 @@ def ingest(
         bad = done.where("reason is not null").select(F.col("at").alias("ts"), "arxiv_id", F.lit("extraction").alias("stage"), "reason", F.substring("response", 1, RAW_KEPT).alias("raw"))
         twice = batch.where("status = 'duplicate'").select(F.current_timestamp().alias("ts"), "arxiv_id", F.lit("batch").alias("stage"), F.lit("duplicate").alias("reason"), F.lit(None).cast("string").alias("raw"))
         status = done.select(F.when(F.col("reason").isNull(), "ingested").otherwise("failed").alias("status")).unionByName(batch.where("status <> 'new'").select("status"))
-        out = written(summary(status), "summary")
+        out = written(summary(status.unionByName(lost.select(F.lit("failed").alias("status")))), "summary")
         counts = out.first()
         if counts["ingested"]:
             (t.upsert if mode == "upsert" else t.insert_absent)("papers", rows, "arxiv_id")
         if counts["failed"]:
-            t.append("failures", bad.unionByName(twice))
+            t.append("failures", bad.unionByName(twice).unionByName(lost))
         if counts["ingested"] and publish:
             refresh(t, rows, encode)
     return out
 
 
+def ingest_from_query(
+    store: Store, endpoint: str, query: str, extractor: Callable, limit: int = live.PAGE, files: str | None = None, reader: Callable[[bytes], list[str]] | None = None,
+    key: str = "", per_second: float = 0, **options,
+) -> DataFrame:
+    """Searches a live service, fetches what is not stored yet and ingests it; returns the summary. ``options`` as for ``ingest``."""
+    stubs = written(live.search(store.spark, endpoint, query, limit, key).distinct(), "found")
+    known = stubs.join(store.read("papers", stubs).select("arxiv_id"), "arxiv_id", "left_semi")
+    fresh = live.gathered(stubs.join(known.select("arxiv_id"), "arxiv_id", "left_anti"), endpoint, files, reader, key, per_second)
+    # Stored papers are not fetched; their stubs are counted as skipped.
+    return ingest(store, fresh.unionByName(known, allowMissingColumns=True), extractor, **options)
+
+
 def refresh(t: Transaction, papers: DataFrame, encode: Callable | None = None) -> None:
     """Upserts the graph of ``papers`` and what points depend on it; only buckets of these papers and of their texts are read and written."""
     for name, col, item in EDGES:

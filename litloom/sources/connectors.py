@@ -18,12 +18,12 @@ class RateLimited(Exception):
     """The source asks to slow down (HTTP 429)."""
 
 
-def fetch_with_retry(fetch: Callable[[], bytes], tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """Waits 1 s, then 2 s when rate limited; other errors rise at once."""
+def fetch_with_retry(fetch: Callable[[], bytes], tries: int = 3, sleep: Callable[[float], None] = time.sleep, on: tuple[type[Exception], ...] = (RateLimited,)) -> bytes:
+    """Waits 1 s, then 2 s when rate limited (or at the errors ``on``); other errors rise at once."""
     for attempt in range(tries):
         try:
             return fetch()
-        except RateLimited:
+        except on:
             if attempt == tries - 1:
                 raise
             sleep(float(2**attempt))
