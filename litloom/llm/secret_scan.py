@@ -1,8 +1,9 @@
 """Secret scanning with corpus-wide ownership frequency (built-in functions only).
 
 Candidates are found by pattern; their hashes are counted over the corpus by distinct
-repositories (documents) and owners (sources). A value many owners hold is a widely copied example;
-one held by few looks live. Generic tokens become spans only if they look live by that test.
+repositories (documents) and owners (sources). A value that many owners hold, or few owners in many
+repositories, is a widely copied example or template; one held by few owners in few repositories looks live.
+Generic tokens become spans only if they look live by that test.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ KINDS = (
 GENERIC = ("generic", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0, 20)
 #: More owners than this make a value a widely copied example.
 MOST_OWNERS = 2
+#: So do more repositories than this, whoever owns them: a key of one owner's own is in some of the owner's documents, not in dozens.
+MOST_REPOSITORIES = 25
 
 
 _FOUND = "array<struct<kind:int,nth:int,gap:int,size:int,hash:string>>"
@@ -79,22 +82,22 @@ def ownership(found: DataFrame) -> DataFrame:
     return held.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example``.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, held_by``.
 
-    Spans are ``kind:start:end`` in code points, by start, then kind. Null text is empty;
+    ``held_by`` lists repositories and owners of the value of each span of ``spans`` as ``repositories:owners``, in the same order. Spans are ``kind:start:end`` in code points, by start, then kind. Null text is empty;
     a null source is an owner of its own; a row repeated with the same id, source and text is one
     repository and each copy gets its spans. Other columns are ignored; an empty table gives no rows.
     """
     found = written(candidates(docs, id_col, text_col, source_col), "candidates")
     known = found.join(ownership(found), "value_hash")
-    known = known.withColumn("live", F.col("n_owners") <= most_owners).where(f"kind < {len(KINDS)} or live")
-    per_doc = known.groupBy("doc_id", "owner", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("s"))
+    known = known.withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)).where(f"kind < {len(KINDS)} or live")
+    per_doc = known.groupBy("doc_id", "owner", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "n_repositories", "n_owners"))).alias("s"))
     names = F.array(*[F.lit(k[0]) for k in (*KINDS, GENERIC)])
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("owner").alias("o"), F.col("text_key").alias("k"), "s")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("owner"), F.xxhash64(text_of(text_col)).alias("text_key"))
     rows = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("owner").eqNullSafe(F.col("o")) & (F.col("text_key") == F.col("k")), "left")
-    spans = F.coalesce("s", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>"))
+    spans = F.coalesce("s", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,n_repositories:bigint,n_owners:bigint>>"))
     shown = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter(spans, lambda x: x["kind"] < 3)
     count = lambda test: F.size(F.filter(spans, test)).cast("long")
@@ -103,4 +106,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         return count(lambda x: x["kind"] == i)
 
     counts = [of_kind(i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(spans).alias("spans"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
+    held_by = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["n_repositories"].cast("string"), x["n_owners"].cast("string"))), ",")
+    return rows.select(
+        "doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(spans).alias("spans"),
+        count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"), held_by.alias("held_by"),
+    )

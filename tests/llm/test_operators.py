@@ -623,3 +623,46 @@ def test_secret_scan_of_a_text_with_many_matches(spark):
     began = time.time()
     row = secret_scan.scan(frame(spark, [(1, text, None, "s", None, *"xyzhrk")])).first()
     assert row.n_hex == 50_000 and row.spans.count("generic") == 50_000 and time.time() - began < 60
+
+
+def test_repositories_and_owners_decide_together(spark):
+    """One owner's key in few documents looks live; in dozens of them it is a template; with three owners it is an example at once."""
+    few, many, wide = "Aq1" + "k7" * 12, "Bq2" + "k7" * 12, "Cq3" + "k7" * 12
+    texts = [(few, "s1")] * 5 + [(many, "s1")] * 30 + [(wide, s) for s in ("s1", "s2", "s3")] + [(f"{few} {many}", "s1"), (f"password={few}", "s2")]
+    rows = [(i, f"see {t} no {i}", "en", s, None, *"xyzhrk") for i, (t, s) in enumerate(texts)]
+    got = {r.doc_id: r for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert got[0].held_by == "7:2" and (got[0].n_live, got[0].n_example, got[0].spans) == (1, 0, "generic:4:31")
+    assert all(got[i].spans == "" for i in range(5, 38))
+    assert got[38].spans == "generic:4:31" and got[38].held_by == "7:2"
+    assert got[39].spans == "assign:4:40" and got[39].held_by == "7:2"
+    loose = {r.doc_id: r.spans for r in secret_scan.scan(frame(spark, rows), most_repositories=31).collect()}
+    assert loose[5] == "generic:4:31" and loose[35] == ""
+    # The same documents: base spans of examples stay, and count as such.
+    rows = [(i, f"token: {many}", "en", "s1", None, *"xyzhrk") for i in range(30)]
+    assert {(r.spans, r.n_live, r.n_example, r.held_by) for r in secret_scan.scan(frame(spark, rows)).collect()} == {("assign:0:34", 0, 1, "30:1")}
+
+
+def test_mix_takes_words_by_keys(spark):
+    """Words taken of every document, the one at the budget's edge included, recomputed from the keys."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randrange(0, 40)), None, f"s{i % 4}" if i % 9 else None, None, *"xyzhrk") for i in range(150)] + [(500, None, None, "s1", None, *"xyzhrk")]
+    df = frame(spark, rows)
+    unit = df.select(((F.shiftrightunsigned(F.xxhash64(F.lit(17).cast("long"), "doc_id", F.xxhash64(F.coalesce("text", F.lit("")))), 11).cast("double") + 0.5) / float(1 << 53)).alias("u")).collect()
+    quality = F.pmod("doc_id", F.lit(5)).cast("double") / 5 + 0.1
+    size = [len((r[1] or "").split()) for r in rows]
+    sizes = {}
+    for r, n in zip(rows, size, strict=True):
+        sizes[r[3]] = sizes.get(r[3], 0) + n
+    want = {}
+    for s, target in slow_targets(sizes).items():
+        mine = sorted((i for i, r in enumerate(rows) if r[3] == s), key=lambda i: -np.log(unit[i].u) / (rows[i][0] % 5 / 5 + 0.1))
+        epochs = int(target // sizes[s])
+        left = int(np.floor(target - epochs * sizes[s] + 0.5))
+        for i in mine:
+            more = min(left, size[i])
+            left -= more
+            want[rows[i][0]] = epochs * size[i] + more
+    got = {r.doc_id: r.taken for r in mixing.mix(df, quality=quality).collect()}
+    assert got == want and any(0 < n % max(1, size[i]) for i, n in want.items() if i < 150)
