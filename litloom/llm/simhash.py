@@ -356,8 +356,8 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.unique(both[x != y], axis=0)
 
 
-def _leader_stage(similarity: float):
-    """Reads rows (key, fp, n, at) sorted by key, at, fp; gives pairs with the first ``LEADERS`` of each bucket (kind 0) and the rows of buckets
+def _leader_stage(similarity: float, leaders: int = LEADERS):
+    """Reads rows (key, fp, n, at) sorted by key, at, fp; gives pairs with the first ``leaders`` of each bucket (kind 0) and the rows of buckets
     in which other pairs remain (kind 1)."""
     names = ["kind", "a", "b", "n", "at"]
 
@@ -374,7 +374,7 @@ def _leader_stage(similarity: float):
             size = np.diff(np.concatenate([start, [len(key)]]))
             left, right = [], []
             place = _within(size)
-            for d in range(LEADERS):
+            for d in range(leaders):
                 lead = np.repeat(np.minimum(start + d, len(key) - 1), size)
                 row = np.flatnonzero((place > d) & (np.arange(len(key)) >= old))
                 lead = lead[row]
@@ -386,11 +386,11 @@ def _leader_stage(similarity: float):
             if old and open_key == key[0]:
                 total[0] += seen - old
             # The last bucket's rows are given in any case where it may go on; a bucket of one row more or less does not matter.
-            more = np.repeat(total > LEADERS + 1, size)
+            more = np.repeat(total > leaders + 1, size)
             more[start[-1] :] = True
             if old and open_key == key[0]:
                 more[:old] = False
-            at_end = slice(start[-1], min(start[-1] + LEADERS, len(key)))
+            at_end = slice(start[-1], min(start[-1] + leaders, len(key)))
             open_key, seen = int(key[-1]), int(total[-1])
             rows = np.flatnonzero(more)
             k, m = len(pairs), len(rows)
@@ -405,27 +405,37 @@ def _leader_stage(similarity: float):
     return run
 
 
-def _across_stage(similarity: float):
-    """Reads rows (key, fp, n, at, comp) sorted by key; gives the pairs (a, b) of a bucket that are in different components and may link."""
+def _across_stage(similarity: float, screen: type | None = None):
+    """Reads rows (key, fp, n, at, comp) sorted by key; gives the pairs (a, b) of a bucket that are in different components and may link.
 
-    def across(fp: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ``screen`` (as ``minmax_hash.Parities``): rows also have a sketch of their sets, which rules out more."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def across(fp: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, counts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         which, times = np.unique(comp, return_counts=True)
         # Members of the largest component meet the others only.
         few = np.flatnonzero(comp != which[times.argmax()])
+        if not len(few):
+            return
+        known = screen(counts) if screen else None
         step = max(1, (1 << 20) // len(fp))
         for i in range(0, len(few), step):
             f = few[i : i + step]
             x, y = np.nonzero((comp[f, None] != comp) & _may_link(n[f, None], at[f, None], n, at, similarity))
-            yield fp[f[x]], fp[y]
+            x = f[x]
+            if known:
+                stay = known.apart(x, y) <= share * (n[x] + n[y]) + 1e-6
+                x, y = x[stay], y[stay]
+            yield fp[x], fp[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held, held_counts = [np.zeros(0, np.int64)] * 5, []
 
-        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def out(cols: list[np.ndarray], counts: list[bytes]) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1], [True]]))
             left, right, many = [], [], 0
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                for a, b in across(*(c[i:j] for c in cols[1:])) if j - i > 1 else ():
+                for a, b in across(*(c[i:j] for c in cols[1:]), counts[i:j]) if j - i > 1 else ():
                     left.append(a)
                     right.append(b)
                     many += len(a)
@@ -438,19 +448,22 @@ def _across_stage(similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
         for b in batches:
-            cols = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+            cols = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns[:5], strict=True)]
+            counts = held_counts + (b.column(5).to_pylist() if screen else [])
             last = int(np.searchsorted(cols[0], cols[0][-1], "left")) if len(cols[0]) else 0
             if last:
-                yield from out([c[:last] for c in cols])
-            held = [c[last:] for c in cols]
+                yield from out([c[:last] for c in cols], counts[:last])
+            held, held_counts = [c[last:] for c in cols], counts[last:]
         if len(held[0]):
-            yield from out(held)
+            yield from out(held, held_counts)
 
     return run
 
 
-def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``rows(key, fp, n, at)`` of buckets, links found -> distinct ``(a, b)`` that meet in a bucket, may link and are not linked yet."""
+def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int, counts: DataFrame | None = None, screen: type | None = None) -> DataFrame:
+    """``rows(key, fp, n, at)`` of buckets, links found -> distinct ``(a, b)`` that meet in a bucket, may link and are not linked yet.
+
+    ``counts(fp, counts)``: sketches for ``screen``, by which pairs are ruled out before they leave their bucket."""
     width = shuffle_width(rows.sparkSession)
     roots = components(edges).withColumnRenamed("node", "fp")
     rows = written(rows.join(roots, "fp", "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("comp")), "buckets")
@@ -459,7 +472,9 @@ def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int) ->
     rows = rows.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("blk", F.pmod(F.xxhash64("fp"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp", "n", "at", "comp")
-    return rows.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_across_stage(similarity), "a long, b long").distinct()
+    if counts is not None:
+        rows = rows.join(counts, "fp").select("key", "fp", "n", "at", "comp", "counts")
+    return rows.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_across_stage(similarity, screen), "a long, b long").distinct()
 
 
 def majority(shingles: np.ndarray) -> int:
@@ -491,14 +506,17 @@ def least_apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(a - b).sum())
 
 
-def _screened(nodes: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
-    """``near(a, b)`` without pairs whose class counts rule the similarity out."""
+def _screened(nodes: DataFrame, near: DataFrame, similarity: float, screen: type | None = None) -> DataFrame:
+    """``near(a, b)`` without pairs whose class counts (or the sketches of ``screen``) rule the similarity out."""
     share = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             most = share * (b.column(2).to_numpy() + b.column(3).to_numpy()) + 1e-6
-            apart = [least_apart(*(np.frombuffer(v.as_py(), np.uint8) for v in both)) for both in zip(b.column(4), b.column(5), strict=True)]
+            if screen:
+                apart = screen(b.column(4).to_pylist() + b.column(5).to_pylist()).apart(np.arange(b.num_rows), np.arange(b.num_rows) + b.num_rows) if b.num_rows else []
+            else:
+                apart = [least_apart(*(np.frombuffer(v.as_py(), np.uint8) for v in both)) for both in zip(b.column(4), b.column(5), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(np.array(apart) <= most))
 
     left, right = (nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")) for c in "ab")
@@ -521,7 +539,7 @@ def _known_texts(texts: DataFrame, named: DataFrame) -> DataFrame:
     return texts.select("__id", "__key", "t").mapInArrow(run, "__id long, __key long, t binary")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def _linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, similarity: float, screen: type | None = None) -> DataFrame:
     """``near(a, b)`` whose whole shingle sets, of one text a node, have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,7 +550,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, tex
                 first = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(sets)))], ["fp", "shingles"])
 
-    near = written(_screened(nodes, near, similarity), "screened")
+    near = written(_screened(nodes, near, similarity, screen), "screened")
     asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     named = written(nodes.join(asked, "fp").select("fp", F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("text_key").alias("__key")), "named")
     texts = docs.select(id_key(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__key"), text_of(text_col).cast("binary").alias("t"))

@@ -15,6 +15,9 @@ EDGES = (("edges_limitation", "limitations", "text"), ("edges_future", "future_d
 #: Edge tables whose texts get vectors, and the collections these go to.
 COLLECTIONS = {"edges_limitation": "limitations", "edges_future": "future_directions"}
 
+#: Papers of a text in one part, about.
+PART = 1000
+
 
 def edges_of(papers: DataFrame, list_col: str, item: str) -> DataFrame:
     """One edge per paper and distinct item; empty and null items are dropped. Limitation edges carry the tier."""
@@ -62,10 +65,24 @@ def violations(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).count().where("count > 1")
 
 
-def limitation_records(papers: DataFrame, edges: DataFrame, domain: str) -> DataFrame:
-    """``text, papers array<struct<arxiv_id, year, tier>>`` of a domain: one row per limitation text."""
+def limitation_mentions(papers: DataFrame, edges: DataFrame, domain: str) -> DataFrame:
+    """``text, arxiv_id, year, tier``: a row per limitation text of a domain and paper."""
     own = papers.where(F.col("domain") == domain).select("arxiv_id", "year")
-    return edges.join(own, "arxiv_id").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("arxiv_id", "year", "tier"))).alias("papers"))
+    return edges.join(own, "arxiv_id").select("text", "arxiv_id", "year", "tier")
+
+
+def limitation_records(papers: DataFrame, edges: DataFrame, domain: str) -> DataFrame:
+    """``text, papers array<struct<arxiv_id, year, tier>>`` of a domain: one row per limitation text. For texts of bounded use; see ``limitation_parts``."""
+    return limitation_mentions(papers, edges, domain).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("arxiv_id", "year", "tier"))).alias("papers"))
+
+
+def limitation_parts(papers: DataFrame, edges: DataFrame, domain: str, size: int = PART) -> DataFrame:
+    """``text, part, parts, papers``: as ``limitation_records`` with the papers of a text dealt by hash to parts of about ``size``,
+    so a text that every paper has is many rows and no large one."""
+    rows = limitation_mentions(papers, edges, domain)
+    counts = rows.groupBy("text").agg(F.ceil(F.count("*") / F.lit(size)).cast("long").alias("parts"))
+    rows = rows.join(counts, "text").withColumn("part", F.pmod(F.xxhash64("arxiv_id"), "parts"))
+    return rows.groupBy("text", "part", "parts").agg(F.array_sort(F.collect_list(F.struct("arxiv_id", "year", "tier"))).alias("papers"))
 
 
 def mentions_of(papers: DataFrame, edges: DataFrame, collection: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.functions.text import round4
 from litloom.operators.cluster import ranked, seed_clusters
-from litloom.operators.graph import limitation_records
+from litloom.operators.graph import limitation_mentions
 from litloom.operators.vectors import materialised_pairs, similar_pairs
 from litloom.sources.shared import written
 
@@ -24,11 +26,6 @@ def tier_weight(tier: Column) -> Column:
     return F.coalesce(*[F.when(tier == t, F.lit(w)) for t, w in TIER_WEIGHTS.items()], F.lit(1.0))
 
 
-def members(records: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``seed, text, arxiv_id, year, tier``: one row per cluster, member text and paper."""
-    return clusters.join(records, "rank").select("seed", "text", F.explode("papers").alias("p")).select("seed", "text", "p.*")
-
-
 def frequency(rows: DataFrame, total_papers: int) -> DataFrame:
     """Sum over papers of their strongest tier's weight, by papers of the domain, at most 1; no papers: 0."""
     strongest = rows.groupBy("seed", "arxiv_id").agg(F.max(tier_weight(F.col("tier"))).alias("w"))
@@ -58,36 +55,68 @@ def mode_text(rows: DataFrame) -> DataFrame:
 
 
 class Gaps:
-    """Clusters of a domain's limitations and everything scored on them. Each part is a DataFrame.
+    """Clusters of a domain's limitations and everything scored on them. Each part is a DataFrame, made when it is first asked for and kept.
 
     ``points`` has the embeddings of both collections. ``neighbour_limit='reference'`` cuts each
     limitation's hits to as many as the domain has limitations, counted over all domains' points, before
-    the restriction to the domain; None does not cut.
+    the restriction to the domain; None does not cut. Papers of a text are rows, never one list, until the gaps that are shown are known.
     """
 
-    def __init__(self, papers: DataFrame, edges: DataFrame, points: DataFrame, domain: str, cluster_threshold: float = CLUSTER_THRESHOLD, solution_threshold: float = SOLUTION_THRESHOLD, current_year: int = CURRENT_YEAR, neighbour_limit: str | None = None, method: str = "rounds") -> None:
-        self.domain, self.current_year = domain, current_year
-        self.total_papers = papers.where(F.col("domain") == domain).count()
-        self.records = written(ranked(limitation_records(papers, edges, domain)), "records")
-        limitations = points.where("collection = 'limitations'")
-        vectors = limitations.where(F.col("domain") == domain).select("text", F.col("embedding").alias("vec"))
-        self.vectors = self.records.select("rank", "text").join(vectors, "text")
+    def __init__(
+        self, papers: DataFrame, edges: DataFrame, points: DataFrame, domain: str, cluster_threshold: float = CLUSTER_THRESHOLD,
+        solution_threshold: float = SOLUTION_THRESHOLD, current_year: int = CURRENT_YEAR, neighbour_limit: str | None = None, method: str = "rounds",
+    ) -> None:
+        self.papers, self.points, self.domain, self.current_year = papers, points, domain, current_year
+        self.cluster_threshold, self.solution_threshold = cluster_threshold, solution_threshold
+        self.neighbour_limit, self.method = neighbour_limit, method
+        self.mentions = limitation_mentions(papers, edges, domain)
+
+    @cached_property
+    def total_papers(self) -> int:
+        return self.papers.where(F.col("domain") == self.domain).count()
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """``text, rank``: the domain's limitation texts."""
+        return written(ranked(self.mentions.select("text").distinct()), "records")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """``rank, text, vec``."""
+        own = self.points.where((F.col("collection") == "limitations") & (F.col("domain") == self.domain)).select("text", F.col("embedding").alias("vec"))
+        return self.records.select("rank", "text").join(own, "text")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """``l, r, sim``: hits of each text among the others, by rank."""
         left = self.vectors.select(F.col("rank").alias("l"), "vec")
-        if neighbour_limit is None:
-            self.pairs = materialised_pairs(left, self.vectors.select(F.col("rank").alias("r"), "vec"), cluster_threshold)
-        else:
-            every = limitations.select("text", "domain", F.col("embedding").alias("vec"), F.xxhash64("text", "domain").alias("r"))
-            hits = similar_pairs(left, every.select("r", "vec"), cluster_threshold, limit=max(1, self.records.count()))
-            ids = every.select("r", "text").join(self.records.select("text", "rank"), "text")
-            self.pairs = written(hits.join(ids, "r").select("l", F.col("rank").alias("r"), "sim"), "pairs")
-        self.clusters = written(seed_clusters(self.records, self.pairs, cluster_threshold, method), "clusters")
-        self.rows = members(self.records, self.clusters)
-        future = points.where("collection = 'future_directions' and text <> ''").select("text", "domain", F.col("embedding").alias("vec"), F.xxhash64("text", "domain").alias("r"))
+        if self.neighbour_limit is None:
+            return materialised_pairs(left, self.vectors.select(F.col("rank").alias("r"), "vec"), self.cluster_threshold)
+        every = self.points.where("collection = 'limitations'").select("text", "domain", F.col("embedding").alias("vec"), F.xxhash64("text", "domain").alias("r"))
+        hits = similar_pairs(left, every.select("r", "vec"), self.cluster_threshold, limit=max(1, self.records.count()))
+        ids = every.select("r", "text").join(self.records.select("text", "rank"), "text")
+        return written(hits.join(ids, "r").select("l", F.col("rank").alias("r"), "sim"), "pairs")
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        """``rank, seed``."""
+        return written(seed_clusters(self.records, self.pairs, self.cluster_threshold, self.method), "clusters")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """``seed, text, arxiv_id, year, tier``: one row per cluster, member text and paper."""
+        of_text = self.clusters.join(self.records.select("rank", "text"), "rank").select("seed", "text")
+        return self.mentions.join(of_text, "text").select("seed", "text", "arxiv_id", "year", "tier")
+
+    @cached_property
+    def solutions(self) -> DataFrame:
+        """``seed, text, domain, sim, pos``: the proposals nearest to each cluster's seed."""
+        future = self.points.where("collection = 'future_directions' and text <> ''").select("text", "domain", F.col("embedding").alias("vec"), F.xxhash64("text", "domain").alias("r"))
         seeds = self.clusters.select(F.col("seed").alias("rank")).distinct().join(self.vectors, "rank")
-        near = similar_pairs(seeds.select(F.col("rank").alias("l"), "vec"), future.select("r", "vec"), solution_threshold).join(future.select("r", "text", "domain"), "r")
+        near = similar_pairs(seeds.select(F.col("rank").alias("l"), "vec"), future.select("r", "vec"), self.solution_threshold).join(future.select("r", "text", "domain"), "r")
         best = Window.partitionBy("l").orderBy(F.desc("sim"), "text", "domain")
         near = near.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= MAX_SOLUTIONS)
-        self.solutions = written(near.select(F.col("l").alias("seed"), "text", "domain", "sim", "pos"), "solutions")
+        return written(near.select(F.col("l").alias("seed"), "text", "domain", "sim", "pos"), "solutions")
 
     def addressing(self) -> DataFrame:
         return self.solutions.groupBy("seed").agg(F.count("*").alias("n"))
@@ -99,17 +128,20 @@ class Gaps:
         return parts.withColumn("score", a * F.col("frequency") + b * F.col("recency") + c * F.col("deficit"))
 
     def ranking(self, top_n: int = 20) -> DataFrame:
-        """Gap rows by rounded score, ties in seed order; all scores to four decimals."""
-        papers = self.rows.groupBy("seed").agg(F.array_sort(F.collect_set("arxiv_id")).alias("supporting_papers"))
-        texts = mode_text(self.clusters.join(self.records.select("rank", "text"), "rank"))
-        proposed = self.solutions.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("proposed_solutions"))
-        out = self.scores().join(papers, "seed").join(texts, "seed").join(proposed, "seed", "left")
+        """Gap rows by rounded score, ties in seed order; all scores to four decimals. Lists are gathered for the rows shown only."""
+        best = self.scores().withColumn("score", round4(F.col("score"))).orderBy(F.desc("score"), "seed").limit(top_n)
+        best = written(best, "best")
+        shown = F.broadcast(best.select("seed"))  # top_n rows
+        papers = self.rows.join(shown, "seed").groupBy("seed").agg(F.array_sort(F.collect_set("arxiv_id")).alias("supporting_papers"))
+        texts = mode_text(self.clusters.join(shown, "seed").join(self.records.select("rank", "text"), "rank"))
+        proposed = self.solutions.join(shown, "seed").groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("proposed_solutions"))
+        out = best.join(papers, "seed").join(texts, "seed").join(proposed, "seed", "left")
         out = out.select(
-            "seed", F.col("description").alias("gap_description"), round4(F.col("score")).alias("score"), round4(F.col("frequency")).alias("frequency_score"),
+            "seed", F.col("description").alias("gap_description"), "score", round4(F.col("frequency")).alias("frequency_score"),
             round4(F.col("recency")).alias("recency_score"), round4(F.col("deficit")).alias("solution_deficit_score"), "supporting_papers",
             F.coalesce("proposed_solutions", F.array().cast("array<string>")).alias("proposed_solutions"),
         )
-        return out.orderBy(F.desc("score"), "seed").limit(top_n)
+        return out.orderBy(F.desc("score"), "seed")
 
 
 def listed(ranking: DataFrame) -> DataFrame:

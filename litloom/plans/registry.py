@@ -43,8 +43,15 @@ def joined(c: str) -> F.Column:
     return F.array_join(c, ",").alias(c)
 
 
+#: Gaps of a domain by application and folder: several queries read the same clusters.
+_GAPS: dict[tuple[str, str, str], Gaps] = {}
+
+
 def _gaps(spark: SparkSession, d: str, domain: str = CV) -> Gaps:
-    return Gaps(b.papers(spark, d), b.edges_limitation(b.edges(spark, d)), b.points(spark, d), domain, T, T)
+    key = (spark.sparkContext.applicationId, d, domain)
+    if key not in _GAPS:
+        _GAPS[key] = Gaps(b.papers(spark, d), b.edges_limitation(b.edges(spark, d)), b.points(spark, d), domain, T, T)
+    return _GAPS[key]
 
 
 def _query_vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
@@ -127,6 +134,16 @@ def limitation_nodes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("text", F.array_join(shown, ",").alias("papers"), F.size("papers").cast("long").alias("n"))
 
 
+@query(with_rules(f"""
+SELECT text, string_agg(arxiv_id || ':' || year || ':' || tier, ',' ORDER BY arxiv_id) AS papers, count(*) AS n, CAST(ceil(count(*) / 2.0) AS BIGINT) AS parts FROM edges WHERE vec_id % 3 <> 0 AND domain = '{CV}' GROUP BY text"""))
+def limitation_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Lists in parts of about two papers, put together again."""
+    parts = graph.limitation_parts(b.papers(spark, d), b.edges_limitation(b.edges(spark, d)), CV, 2)
+    rows = parts.groupBy("text").agg(F.array_sort(F.flatten(F.collect_list("papers"))).alias("papers"), F.max("parts").alias("parts"))
+    shown = F.transform("papers", lambda p: F.concat_ws(":", p["arxiv_id"], p["year"].cast("string"), p["tier"]))
+    return rows.select("text", F.array_join(shown, ",").alias("papers"), F.size("papers").cast("long").alias("n"), "parts")
+
+
 @query(with_rules("SELECT collection, text, domain, paper_ids, year FROM points"))
 def point_payloads(spark: SparkSession, d: str) -> DataFrame:
     return b.points(spark, d).select("collection", "text", "domain", joined("paper_ids"), "year")

@@ -283,3 +283,15 @@ def test_hits_within_a_task_are_the_best(spark):
     assert [tuple(x) for x in zip(*(v.tolist() for v in vectors.best(l, r, sim, 7)), strict=True)] == [(a, c, -b) for a, b, c in want]
     out = list(vectors.products(np.arange(3), np.eye(3), np.arange(9000), np.ones((9000, 3)), 0.5, 4))
     assert sum(b.num_rows for b in out) == 12 and out[0].column(1).to_pylist()[:4] == [0, 1, 2, 3]
+
+
+def test_a_text_of_every_paper_is_many_small_rows(spark):
+    n = 30_000
+    papers = spark.range(n).select(F.col("id").cast("string").alias("arxiv_id"), F.lit(2020).alias("year"), F.lit("cv").alias("domain"))
+    edges = papers.select("arxiv_id", F.lit("everywhere").alias("text"), F.lit("explicit").alias("tier"))
+    parts = graph.limitation_parts(papers, edges, "cv", 100)
+    assert parts.agg(F.sum(F.size("papers")), F.count("*")).first() == (n, 300) and parts.agg(F.max(F.size("papers"))).first()[0] < 200
+    points = spark.createDataFrame([("limitations", "everywhere", "cv", ["x"], 2020, [1.0, 0.0])], "collection string, text string, domain string, paper_ids array<string>, year int, embedding array<float>")
+    g = scoring.Gaps(papers, edges, points, "cv")
+    assert [(r.gap_description, r.frequency_score, len(r.supporting_papers)) for r in g.ranking().collect()] == [("everywhere", 1.0, n)]
+    assert "collect_list" not in g.scores()._jdf.queryExecution().toString() and "collect_set" not in g.scores()._jdf.queryExecution().toString()
