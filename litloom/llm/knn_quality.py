@@ -170,12 +170,18 @@ def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: ``doc_id, held_out, score, predicted``.
+
+    Texts as in ``score``; a null id is held out by the hash of the empty text and never fitted on. Labels that are null, or of
+    a null or absent id, are left out; of several labels of an id the largest counts. Repeated rows each keep theirs; other columns are
+    ignored; an empty table gives no rows, and without labels all score 0.5.
+    """
     model = fit(docs, labels)
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows that score ``threshold`` or more, columns as given."""
+    """Rows that score ``threshold`` or more, columns and values as given; nulls, repeats and labels as in ``score`` and ``classify``."""
     names = docs.columns
     return score(docs, fit(docs, labels), "__score").where(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in names])
