@@ -405,10 +405,35 @@ def _leader_stage(similarity: float, leaders: int = LEADERS):
     return run
 
 
-def _across_stage(similarity: float, screen: type | None = None):
+class Classes:
+    """Class counts of the members of a bucket, for many pairs at once; see ``least_apart``."""
+
+    def __init__(self, counts: list[bytes]) -> None:
+        self.size = np.array([len(c) for c in counts])
+        self.row, self.table = {}, {}
+        for size in np.unique(self.size).tolist():
+            # All members of this many classes or more, folded to this many.
+            own = np.flatnonzero(self.size >= size)
+            self.row[size] = np.zeros(len(counts), np.int64)
+            self.row[size][own] = np.arange(len(own))
+            self.table[size] = np.stack([np.frombuffer(counts[i], np.uint8).reshape(-1, size).sum(axis=0, dtype=np.int32) for i in own])
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Shingles that members ``x`` and ``y`` do not share, at the least."""
+        out = np.zeros(len(x), np.int64)
+        least = np.minimum(self.size[x], self.size[y])
+        for size, table in self.table.items():
+            row, pairs = self.row[size], np.flatnonzero(least == size)
+            for at in range(0, len(pairs), 1 << 14):
+                p = pairs[at : at + (1 << 14)]
+                out[p] = np.abs(table[row[x[p]]] - table[row[y[p]]]).sum(axis=1)
+        return out
+
+
+def _across_stage(similarity: float, screened: bool = False):
     """Reads rows (key, fp, n, at, comp) sorted by key; gives the pairs (a, b) of a bucket that are in different components and may link.
 
-    ``screen`` (as ``minmax_hash.Parities``): rows also have a sketch of their sets, which rules out more."""
+    ``screened``: rows also have class counts, which rule out more."""
     share = (1 - similarity) / (1 + similarity)
 
     def across(fp: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, counts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -417,7 +442,7 @@ def _across_stage(similarity: float, screen: type | None = None):
         few = np.flatnonzero(comp != which[times.argmax()])
         if not len(few):
             return
-        known = screen(counts) if screen else None
+        known = Classes(counts) if screened else None
         step = max(1, (1 << 20) // len(fp))
         for i in range(0, len(few), step):
             f = few[i : i + step]
@@ -449,7 +474,7 @@ def _across_stage(similarity: float, screen: type | None = None):
 
         for b in batches:
             cols = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns[:5], strict=True)]
-            counts = held_counts + (b.column(5).to_pylist() if screen else [])
+            counts = held_counts + (b.column(5).to_pylist() if screened else [])
             last = int(np.searchsorted(cols[0], cols[0][-1], "left")) if len(cols[0]) else 0
             if last:
                 yield from out([c[:last] for c in cols], counts[:last])
@@ -460,10 +485,10 @@ def _across_stage(similarity: float, screen: type | None = None):
     return run
 
 
-def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int, counts: DataFrame | None = None, screen: type | None = None) -> DataFrame:
+def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int, counts: DataFrame | None = None) -> DataFrame:
     """``rows(key, fp, n, at)`` of buckets, links found -> distinct ``(a, b)`` that meet in a bucket, may link and are not linked yet.
 
-    ``counts(fp, counts)``: sketches for ``screen``, by which pairs are ruled out before they leave their bucket."""
+    ``counts(fp, counts)``: class counts that rule pairs out before they leave their bucket."""
     width = shuffle_width(rows.sparkSession)
     roots = components(edges).withColumnRenamed("node", "fp")
     rows = written(rows.join(roots, "fp", "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("comp")), "buckets")
@@ -474,7 +499,7 @@ def _across(rows: DataFrame, edges: DataFrame, similarity: float, block: int, co
     rows = rows.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "fp", "n", "at", "comp")
     if counts is not None:
         rows = rows.join(counts, "fp").select("key", "fp", "n", "at", "comp", "counts")
-    return rows.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_across_stage(similarity, screen), "a long, b long").distinct()
+    return rows.repartition(width, "key").sortWithinPartitions("key", "fp").mapInArrow(_across_stage(similarity, counts is not None), "a long, b long").distinct()
 
 
 def majority(shingles: np.ndarray) -> int:
@@ -506,17 +531,14 @@ def least_apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(a - b).sum())
 
 
-def _screened(nodes: DataFrame, near: DataFrame, similarity: float, screen: type | None = None) -> DataFrame:
-    """``near(a, b)`` without pairs whose class counts (or the sketches of ``screen``) rule the similarity out."""
+def _screened(nodes: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """``near(a, b)`` without pairs whose class counts rule the similarity out."""
     share = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             most = share * (b.column(2).to_numpy() + b.column(3).to_numpy()) + 1e-6
-            if screen:
-                apart = screen(b.column(4).to_pylist() + b.column(5).to_pylist()).apart(np.arange(b.num_rows), np.arange(b.num_rows) + b.num_rows) if b.num_rows else []
-            else:
-                apart = [least_apart(*(np.frombuffer(v.as_py(), np.uint8) for v in both)) for both in zip(b.column(4), b.column(5), strict=True)]
+            apart = [least_apart(*(np.frombuffer(v.as_py(), np.uint8) for v in both)) for both in zip(b.column(4), b.column(5), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(np.array(apart) <= most))
 
     left, right = (nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")) for c in "ab")
@@ -539,7 +561,7 @@ def _known_texts(texts: DataFrame, named: DataFrame) -> DataFrame:
     return texts.select("__id", "__key", "t").mapInArrow(run, "__id long, __key long, t binary")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, similarity: float, screen: type | None = None) -> DataFrame:
+def _linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """``near(a, b)`` whose whole shingle sets, of one text a node, have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -550,7 +572,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, tex
                 first = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(sets)))], ["fp", "shingles"])
 
-    near = written(_screened(nodes, near, similarity, screen), "screened")
+    near = written(_screened(nodes, near, similarity), "screened")
     asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     named = written(nodes.join(asked, "fp").select("fp", F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("text_key").alias("__key")), "named")
     texts = docs.select(id_key(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__key"), text_of(text_col).cast("binary").alias("t"))
