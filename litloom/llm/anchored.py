@@ -6,7 +6,9 @@ Neighbouring windows with one anchor travel as one packed string. Equal windows
 anchors at equal offsets, so they always meet in one bucket.
 
 A map task packs the strings of many documents into one compressed block a bucket. Strings
-that repeat among them are sent once; their verdict is given on the spot. What a bucket does
+that repeat among them are sent once; their verdict is given on the spot. The strings met most
+often stay with the task, so that what many documents share is sent once a task, not once
+a block: a bucket of one common anchor gets few copies of it. What a bucket does
 with its strings is up to the user: ``superkmer`` (words, hash buckets) sorts window hashes,
 ``suffix_dedup`` (bytes, range buckets) sorts suffixes. Everything is vectorised numpy.
 """
@@ -14,7 +16,7 @@ with its strings is up to the user: ``superkmer`` (words, hash buckets) sorts wi
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.common import dealt, id_key, text_of
+from litloom.llm.common import dealt, id_key, shuffle_width, text_of, written
 
 U = np.uint64
 #: Odd multiplier of the rolling polynomial and its inverse modulo 2**64.
@@ -31,6 +33,8 @@ _RINV = pow(_R, -1, 1 << 64)
 #: Bytes of text handled at once, and of packed strings held before they are sent.
 SLICE = 1 << 19
 HELD = 24 << 20
+#: Bytes of those that may stay for the rest of the task, as strings met again and again.
+STAYING = 6 << 20
 #: Bytes of packed strings aimed at in one bucket, and packed bytes a byte of text at most, as a rule.
 BUCKET_BYTES = 32 << 20
 PACKED = 5
@@ -347,13 +351,25 @@ def map_slice(docs: list[Doc], k: int, m: int, words: bool, frequent: FrequentSe
     return pieces, out
 
 
-def combined(pieces: list[Piece], k: int, keep_first: bool) -> tuple[Piece, tuple[np.ndarray, ...] | None]:
-    """The pieces of one bucket as one, strings that repeat among them once; and the verdicts on the others, as ``map_slice`` gives them."""
+def chosen(piece: Piece, which: np.ndarray) -> Piece:
+    """Some strings of a piece, by number."""
+    raw, cols, h = piece
+    size = cols[0].astype(np.int64)
+    begin = np.cumsum(size) - size
+    return np.frombuffer(raw, np.uint8)[ranges(begin[which], size[which])].tobytes(), [c[which] for c in cols], h[which]
+
+
+def weight_of(piece: Piece) -> int:
+    return len(piece[0]) + 45 * len(piece[1][0])
+
+
+def combined(pieces: list[Piece], k: int, keep_first: bool) -> tuple[Piece, np.ndarray, tuple[np.ndarray, ...] | None]:
+    """The pieces of one bucket as one, strings that repeat among them once; how often each was met; and the verdicts on the others, as ``map_slice`` gives them."""
     raw = b"".join(p[0] for p in pieces)
     cols = [np.concatenate([p[1][i] for p in pieces]) for i in range(len(_COLUMNS))]
     h = np.concatenate([p[2] for p in pieces])
     if len(pieces) == 1 or len(np.unique(h)) == len(h):
-        return (raw, cols, h), None
+        return (raw, cols, h), np.ones(len(h), np.int64), None
     size, n, _, _, flag, ids, keys, pos = (c.astype(np.int64) for c in cols)
     begin = np.cumsum(size) - size
     order = np.lexsort((pos, keys, ids))
@@ -374,8 +390,17 @@ def combined(pieces: list[Piece], k: int, keep_first: bool) -> tuple[Piece, tupl
     v = np.flatnonzero(covered)
     v = v[np.lexsort((pos[v], keys[v], ids[v]))]
     stay = np.flatnonzero(~twin)
-    kept = (buf[ranges(begin[stay], size[stay])].tobytes(), [c[stay] for c in cols], h[stay])
-    return kept, (ids[v], keys[v], pos[v], (n + k - 1)[v])
+    return chosen((raw, cols, h), stay), np.bincount(own, minlength=len(h))[stay], (ids[v], keys[v], pos[v], (n + k - 1)[v])
+
+
+def met_most(sizes: list[np.ndarray], times: list[np.ndarray], room: int) -> list[np.ndarray]:
+    """For the strings of each bucket, which of them stay: those met most often, of those met twice at least, within ``room`` bytes."""
+    size, many = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (sizes, times))
+    order = np.argsort(-many, kind="stable")
+    fit = order[(np.cumsum(size[order] + 45) <= room) & (many[order] > 1)]
+    stay = np.zeros(len(size), bool)
+    stay[fit] = True
+    return np.split(stay, np.cumsum([len(t) for t in times], dtype=np.int64))[:-1]
 
 
 def merged_runs(owner: np.ndarray, first: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -483,16 +508,29 @@ def _verdicts(cols: tuple[np.ndarray, ...], code: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(doc), -1, np.int32)), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(key), pa.array(packed_runs(first, units))], _NAMES)
 
 
-def _blocks(held: dict[int, list[Piece]], k: int, keep_first: bool, code: np.ndarray) -> Iterator[pa.RecordBatch]:
-    numbers, blocks = list(held), []
+def _blocks(held: dict[int, list[Piece]], k: int, keep_first: bool, code: np.ndarray, room: int) -> Generator[pa.RecordBatch, None, dict[int, list[Piece]]]:
+    """Gives up what is held, but for the strings met most often (``room`` bytes), which are returned."""
+    numbers, found, stay_on = list(held), [], {}
     for b in numbers:
-        piece, now = combined(held.pop(b), k, keep_first)
-        blocks.append(pack([piece]))
+        piece, times, now = combined(held.pop(b), k, keep_first)
+        found.append((piece, times))
         if now is not None and len(now[0]):
             yield _verdicts(now, code)
-    none = pa.nulls(len(numbers), pa.int64())
-    to = code[np.array(numbers) % len(code)]
-    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary()), none, none, none], _NAMES)
+    stays = met_most([piece[1][0] for piece, _ in found], [times for _, times in found], room)
+    sent, blocks = [], []
+    for b, stay in zip(numbers[::-1], stays[::-1], strict=True):
+        piece, _ = found.pop()
+        if stay.any():
+            stay_on[b] = [chosen(piece, np.flatnonzero(stay))]
+            piece = chosen(piece, np.flatnonzero(~stay))
+        if not stay.all():
+            sent.append(b)
+            blocks.append(pack([piece]))
+    if sent:
+        none = pa.nulls(len(sent), pa.int64())
+        to = code[np.array(sent) % len(code)]
+        yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(sent, pa.int32()), pa.array(blocks, pa.binary()), none, none, none], _NAMES)
+    return stay_on
 
 
 #: Decides a bucket: its number and blocks -> (doc, key, first unit, units) covered, and (doc, key, first, units, window) still open or None.
@@ -520,12 +558,12 @@ def covered_runs(
                 yield _verdicts(now, code)
             for b, p in pieces:
                 held.setdefault(b, []).append(p)
-                weight += len(p[0]) + 45 * len(p[1][0])
+                weight += weight_of(p)
             if weight >= HELD:
-                yield from _blocks(held, k, keep_first, code)
-                held, weight = {}, 0
+                held = yield from _blocks(held, k, keep_first, code, STAYING)
+                weight = sum(weight_of(p) for ps in held.values() for p in ps)
         if held:
-            yield from _blocks(held, k, keep_first, code)
+            yield from _blocks(held, k, keep_first, code, 0)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Reads rows sorted by bucket: verdicts pass, blocks are held until their bucket is complete."""
@@ -581,7 +619,7 @@ def text_bytes(rows: DataFrame) -> int:
 
 
 def sampled_anchors(rows: DataFrame, total: int, k: int, m: int, words: bool, least_bytes: int, share: int, depth: int, splitters: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequent m-gram hashes, leading ``depth`` bytes of some anchors, sorted) from a sample of documents.
+    """(frequent m-gram hashes, about ``splitters`` quantiles of the leading ``depth`` bytes of anchors, sorted) from a sample of documents.
 
     The sample only steers work: which anchors are avoided and where ranges are cut. Documents are drawn by
     hash with a chance that keeps their bytes near ``least_bytes``, or near ``SAMPLE_SHARE`` of a large input, so that
@@ -589,7 +627,7 @@ def sampled_anchors(rows: DataFrame, total: int, k: int, m: int, words: bool, le
     """
     chance = min(1.0, max(least_bytes / max(1, total), SAMPLE_SHARE))
     drawn = rows.where(F.pmod(F.xxhash64("key", "doc", F.lit(7)), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1)
-    # About 64 anchors a splitter reach the driver, whose number is bounded.
+    # About 64 anchors a splitter are ordered.
     one_in = max(1, int(chance * total / 40 / max(1, 64 * splitters)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -602,13 +640,26 @@ def sampled_anchors(rows: DataFrame, total: int, k: int, m: int, words: bool, le
                 lead = [None] * len(a) if words else prefixes(seq.buf, a, depth).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(lead, pa.binary())], ["g", "lead"])
 
-    seen = drawn.select("doc", "key", "text").mapInArrow(look, "g long, lead binary")
+    def quantiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every ``stride``-th of the sorted rows of a partition, from the middle of the first stride."""
+        ahead = stride // 2
+        for b in batches:
+            yield b.take(pa.array(np.arange(ahead, b.num_rows, stride)))
+            ahead = (ahead - b.num_rows) % stride if ahead < b.num_rows else ahead - b.num_rows
+
+    # Written: one pass over the texts serves the counts and the splitters.
+    seen = written(drawn.select("doc", "key", "text").mapInArrow(look, "g long, lead binary"), "anchors")
     counted = seen.groupBy("g").count().where(F.col("count") >= share).orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).toArrow()
     frequent = counted.column("g").to_numpy().astype(np.int64).view(U)
     if words:
         return frequent, np.zeros(0, "S1")
-    lead = seen.where(F.pmod(F.xxhash64("lead", "g"), F.lit(one_in)) == 0).select("lead").toArrow().column("lead").to_pylist()
-    return frequent, np.sort(np.array(lead, f"S{depth}"))
+    lead = seen.where(F.pmod(F.xxhash64("lead", "g"), F.lit(one_in)) == 0).select("lead")
+    n = lead.count()
+    stride = max(1, -(-n // splitters))
+    # Ordered by Spark, so that the driver gets a value a splitter.
+    parts = min(shuffle_width(rows.sparkSession), 1 + n // 100_000)
+    cuts = lead.repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(quantiles, "lead binary").toArrow().column("lead")
+    return frequent, np.sort(np.array(cuts.to_pylist(), f"S{depth}"))
 
 
 def prefixes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:

@@ -161,8 +161,8 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX, sl
     rows = rows.select("doc", "key", "text")
     total = text_bytes(rows)
     buckets = buckets or bucket_count(total, width)
-    frequent, lead = sampled_anchors(rows, total, length, prefix, False, SAMPLE_BYTES, FREQUENT, DEPTH, buckets)
-    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else lead
+    frequent, lead = sampled_anchors(rows, total, length, prefix, False, SAMPLE_BYTES, FREQUENT, DEPTH, max(1, buckets - 1))
+    splitters = np.unique(lead)
 
     def bucket(buf: np.ndarray, at: np.ndarray, _gram: np.ndarray) -> np.ndarray:
         return np.searchsorted(splitters, prefixes(buf, at, DEPTH), "right")
