@@ -40,6 +40,8 @@ BUCKET_BYTES = 32 << 20
 PACKED = 5
 #: Buckets at most: their splitters are broadcast.
 MOST_BUCKETS = 1 << 20
+#: Buckets a partition decides at most, as a rule: about 75 MB of packed blocks, whatever the input.
+PARTITION_BUCKETS = 8
 #: Share of the text looked at for frequent anchors, besides a least number of bytes, and how many are told to all tasks at most (8 bytes each).
 SAMPLE_SHARE = 1 / 4096
 MOST_FREQUENT = 1 << 21
@@ -607,6 +609,11 @@ def bucket_count(total: int, width: int) -> int:
     return min(MOST_BUCKETS, max(2 * width, -(-total * PACKED // BUCKET_BYTES)))
 
 
+def partition_count(buckets: int, width: int) -> int:
+    """Partitions that share the buckets: the session's number, or more where buckets are many, so that no task grows with the input."""
+    return max(width, -(-buckets // PARTITION_BUCKETS))
+
+
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, key, text``: a row is known by id, and by the hash of its text too where ids repeat."""
     ids = docs.groupBy(id_key(id_col)).count()

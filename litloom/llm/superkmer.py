@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.anchored import SLICE, Powers, U, bucket_count, by_document, cover, covered_runs, keyed_rows, repeated_windows, sampled_anchors, text_bytes
+from litloom.llm.anchored import SLICE, Powers, U, bucket_count, by_document, cover, covered_runs, keyed_rows, partition_count, repeated_windows, sampled_anchors, text_bytes
 from litloom.llm.common import shuffle_width
 
 WINDOW = 35
@@ -30,7 +30,8 @@ def find_repeats(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     rows = rows.select("doc", "key", "text")
     total = text_bytes(rows)
     frequent, _ = sampled_anchors(rows, total, window, minimiser, True, SAMPLE_BYTES, FREQUENT, 1, 1)
-    n, powers = U(bucket_count(total, width)), Powers()
+    buckets = bucket_count(total, width)
+    n, powers = U(buckets), Powers()
 
     def bucket(_buf: np.ndarray, _at: np.ndarray, gram: np.ndarray) -> np.ndarray:
         return (gram % n).astype(np.int64)
@@ -38,7 +39,7 @@ def find_repeats(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     def decide(_number: int, blocks: list[bytes]) -> Iterator[tuple[tuple[np.ndarray, ...], None]]:
         return ((found, None) for found in repeated_windows(blocks, window, True, powers, slice_bytes))
 
-    return by_document(covered_runs(rows, window, minimiser, True, False, bucket, decide, frequent, width, slice_bytes))
+    return by_document(covered_runs(rows, window, minimiser, True, False, bucket, decide, frequent, partition_count(buckets, width), slice_bytes))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slice_bytes: int = 2 * SLICE) -> DataFrame:

@@ -178,3 +178,10 @@ def test_splitters_are_quantiles(spark):
     assert 15 <= len(cuts) <= 20 and len(every) > 3000
     share = np.diff(np.concatenate([[0], np.searchsorted(every, cuts), [len(every)]])) / len(every)
     assert share.max() < 2 / 19
+
+
+def test_partitions_follow_the_buckets():
+    """A terabyte is shared by as many tasks as its buckets need, however few shuffle partitions the session names; small inputs keep the session's number."""
+    buckets = anchored.bucket_count(1 << 40, 50)
+    assert anchored.partition_count(buckets, 50) * anchored.PARTITION_BUCKETS >= buckets > 100_000
+    assert anchored.partition_count(anchored.bucket_count(1 << 20, 50), 50) == 50
