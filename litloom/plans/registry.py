@@ -392,28 +392,28 @@ def gap_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN left('Limitations' || chr(10) || 'x' || repeat(md5(text), 200), 3998)
-  WHEN 1 THEN left('2. Conclusion' || chr(10) || repeat(md5(text) || 'limitation', 150), 3999) WHEN 2 THEN left('future work ' || repeat(md5(text), 200), 4000) ELSE '' END) AS section
-FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN left('Limitations' || chr(10) || 'x' || repeat(md5(coalesce(text, '')), 200), 3998)
+  WHEN 1 THEN left('2. Conclusion' || chr(10) || repeat(md5(coalesce(text, '')) || 'limitation', 150), 3999) WHEN 2 THEN left('future work ' || repeat(md5(coalesce(text, '')), 200), 4000) ELSE '' END) AS section
+FROM documents""")
 def section_of_text(spark: SparkSession, d: str) -> DataFrame:
     """A heading before others in priority, a numbered heading before mentions, a mention without heading, none.
 
     The cut at 4,000 characters counts the line breaks before a heading, which are stripped afterwards.
     """
-    i, t = F.col("doc_id"), F.md5("text")
+    i, t = F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))
     made = F.when(i % 4 == 0, F.concat(F.lit("Discussion\nabc\n\nLimitations\nx"), F.repeat(t, F.lit(200))))
     made = made.when(i % 4 == 1, F.concat(F.lit("some limitation here\n2. Conclusion\n"), F.repeat(F.concat(t, F.lit("limitation")), F.lit(150))))
     made = made.when(i % 4 == 2, F.concat(F.lit("we leave this to future work "), F.repeat(t, F.lit(200)))).otherwise(F.concat(F.lit("nothing "), t))
-    rows = b.table(spark, d, "documents").where("text is not null")
+    rows = b.table(spark, d, "documents")
     return rows.select("doc_id", F.md5(text.section_from_text(made)).alias("section"))
 
 
 @query(f"""
-SELECT doc_id, sha256('In two or three sentences, say why the proposal could help with the problem.' || chr(10) || 'Problem in computer vision: ' || text
- || chr(10) || 'Proposal from medical imaging: ' || doc_id) AS prompt FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, sha256('In two or three sentences, say why the proposal could help with the problem.' || chr(10) || 'Problem in computer vision: ' || coalesce(text, '')
+ || chr(10) || 'Proposal from medical imaging: ' || doc_id) AS prompt FROM documents""")
 def explain_prompt(spark: SparkSession, d: str) -> DataFrame:
-    rows = b.table(spark, d, "documents").where("text is not null")
-    return rows.select("doc_id", F.sha2(text.explain_prompt(F.col("text"), F.col("doc_id").cast("string"), F.lit(CV), F.lit(MI)), 256).alias("prompt"))
+    rows = b.table(spark, d, "documents")
+    return rows.select("doc_id", F.sha2(text.explain_prompt(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string"), F.lit(CV), F.lit(MI)), 256).alias("prompt"))
 
 
 @query("""
