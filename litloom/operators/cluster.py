@@ -2,12 +2,13 @@
 every unassigned item similar enough to itself.
 
 The seeds are the lexicographically first maximal independent set of the link graph, found in parallel
-rounds (after Blelloch, Fineman and Shun 2012) over blocks of consecutive ranks.
+rounds (after Blelloch, Fineman and Shun 2012) over blocks of consecutive ranks. Only hits of seeds matter, so hits are
+asked for the first open items alone, and what their seeds take is never asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from litloom.sources.shared import written
 #: Links of a block, on average, and blocks at least: small tables end in that many rounds.
 LINKS_A_BLOCK, LEAST_BLOCKS = 200_000, 8
 OPEN, SEED, MEMBER = 0, 1, 2
+#: Hits asked for in a round, about, and candidates of a round at least.
+HITS_A_ROUND, LEAST_CANDIDATES = 8 << 20, 64
 
 
 def ranked(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -135,3 +138,32 @@ def seed_clusters(items: DataFrame, pairs: DataFrame, threshold: float, method:
     links = pairs.where((F.col("sim") >= threshold) & (F.col("l") < F.col("r"))).select(F.col("l").cast("long").alias("src"), F.col("r").cast("long").alias("dst")).distinct()
     items = items.select(F.col("rank").cast("long").alias("rank"))
     return _loop(items, links) if method == "loop" else _rounds(items, links)
+
+
+def clusters_from(items: DataFrame, points: int, hits: Callable[[DataFrame, DataFrame], DataFrame], hits_a_round: int = HITS_A_ROUND, least: int = LEAST_CANDIDATES) -> DataFrame:
+    """The clusters of ``seed_clusters`` without all pairs: ``items(rank, ..)`` -> ``(rank, seed)``.
+
+    ``hits(candidates, left)``, rows of ``items`` both, gives ``(l, r)``: the ranks ``r`` among ``left`` that candidate ``l`` hits, of ``points`` at most.
+    A round takes the first open items as candidates; whether one of them seeds depends on candidates alone, as earlier seeds
+    have taken what they hit. What its seeds hit leaves with them. Candidates are as many as give ``hits_a_round``, by the hits of the round before.
+    """
+    left, done, wanted = written(items, "open"), [], max(least, hits_a_round // max(points, 1))
+    while n := left.count():
+        cut = None if wanted >= n else left.agg(F.percentile_approx("rank", wanted / n, 100_000)).first()[0]
+        candidates = left if cut is None else left.where(F.col("rank") <= cut)
+        found = written(hits(candidates, left).where("l < r").select("l", "r"), "hits")
+        within = found if cut is None else found.where(F.col("r") <= cut)
+        own = _rounds(candidates, within.select(F.col("l").alias("src"), F.col("r").alias("dst")).distinct())
+        if cut is None:
+            done.append(written(own, "clusters"))
+            break
+        own = written(own, "clusters")
+        seeds = own.where("rank = seed").select("seed")
+        taken = found.where(F.col("r") > cut).join(seeds, F.col("l") == F.col("seed"), "left_semi").groupBy(F.col("r").alias("rank")).agg(F.min("l").alias("seed"))
+        done += [own, taken := written(taken, "clusters")]
+        left = written(left.where(F.col("rank") > cut).join(taken.select("rank"), "rank", "left_anti"), "open")
+        asked, got = own.count(), found.count()
+        wanted = max(least, hits_a_round * asked // max(got, asked))
+    if not done:
+        return left.select("rank", F.col("rank").alias("seed"))
+    return reduce(DataFrame.unionByName, done)

@@ -193,5 +193,24 @@ def neighbours(pairs: DataFrame, limit: int, right_text: DataFrame | None = None
     return pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
 
 
+def first_hits(hits: DataFrame, limit: int, bins: int = 4096) -> DataFrame:
+    """``hits(l, r, sim)``: the first ``limit`` of each ``l`` by similarity (to twelve decimals), then ``r``, for limits of any size.
+
+    Counts of narrow bands of similarity say which bands of an ``l`` stay whole; only the band in which the limit falls is put in order.
+    """
+    hits = written(hits, "ties")
+    if hits.groupBy("l").count().where(F.col("count") > limit).isEmpty():
+        return hits
+    sim = F.round("sim", 12)
+    rows = hits.withColumn("band", F.floor(sim * bins))
+    before = Window.partitionBy("l").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = rows.groupBy("l", "band").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bands = written(bands.where(F.col("before") < limit), "bands")  # at most ``bins`` and as many again an ``l``
+    whole = rows.join(bands.where(F.col("before") + F.col("n") <= limit).select("l", "band"), ["l", "band"], "left_semi").select("l", "r", "sim")
+    cut = rows.join(bands.where(F.col("before") + F.col("n") > limit), ["l", "band"])
+    cut = cut.withColumn("pos", F.row_number().over(Window.partitionBy("l").orderBy(F.desc(sim), "r")))
+    return whole.unionByName(cut.where(F.col("before") + F.col("pos") <= limit).select("l", "r", "sim"))
+
+
 def materialised_pairs(*args, **kwargs) -> DataFrame:
     return written(similar_pairs(*args, **kwargs), "pairs")

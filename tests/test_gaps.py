@@ -295,3 +295,47 @@ def test_a_text_of_every_paper_is_many_small_rows(spark):
     g = scoring.Gaps(papers, edges, points, "cv")
     assert [(r.gap_description, r.frequency_score, len(r.supporting_papers)) for r in g.ranking().collect()] == [("everywhere", 1.0, n)]
     assert "collect_list" not in g.scores()._jdf.queryExecution().toString() and "collect_set" not in g.scores()._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("t", "limit"), [(0.3, None), (0.0, "reference")])
+def test_clusters_ask_for_hits_of_few_candidates(spark, t, limit, monkeypatch):
+    """Equal to the rule over all pairs, ties at the limit in the order of texts; what seeds have taken is never compared."""
+    from litloom.operators import cluster
+    from litloom.sources.shared import written
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((100, 16))
+    rows = [(f"text {i:03}", [float(x) for x in base[i % 100]]) for i in range(400)]  # each vector four times
+    vec = spark.createDataFrame(rows, "text string, embedding array<double>")
+    every = vec.select(F.lit("limitations").alias("collection"), "text", F.explode(F.array(F.lit("cv"), F.lit("mi"))).alias("domain"), F.array().cast("array<string>").alias("paper_ids"), F.lit(2020).alias("year"), "embedding")
+    edges = vec.select(F.lit("p").alias("arxiv_id"), "text", F.lit("explicit").alias("tier"))
+    papers = spark.createDataFrame([("p", 2020, "cv")], "arxiv_id string, year int, domain string")
+    sim = base @ base.T / np.outer(*[np.linalg.norm(base, axis=1)] * 2)
+    hit = {}
+    for i in range(400):
+        order = sorted((-round(sim[i % 100, j % 100], 12), j) for j in range(400) for _ in range(2) if sim[i % 100, j % 100] >= t)
+        hit[i] = {j for _, j in (order[:400] if limit else order)}
+    want, seeds = {}, []
+    for i in range(400):
+        by = [s for s in seeds if i in hit[s]]
+        want[i + 1] = by[0] + 1 if by else i + 1
+        seeds += [] if by else [i]
+    assert not limit or min(map(len, hit.values())) < max(map(len, hit.values()))
+    g = scoring.Gaps(papers, edges, every, "cv", t, neighbour_limit=limit)
+    asked = []
+
+    def hits(candidates, left):
+        out = written(g._hits(candidates, left), "asked")
+        asked.append((candidates.count(), out.count()))
+        return out
+
+    got = cluster.clusters_from(g.vectors.select("rank", "vec"), 800, hits, hits_a_round=1, least=16)
+    assert {r["rank"]: r["seed"] for r in got.collect()} == want == {r["rank"]: r["seed"] for r in g.clusters.collect()}
+    assert len(asked) > 1 and sum(n for n, _ in asked) < 400 and sum(n for _, n in asked) < sum(map(len, hit.values())) / 2
+
+
+def test_first_hits_of_bands(spark):
+    rows = [(1, r, 0.5) for r in range(50)] + [(1, 100 + r, 0.5 + r / 1000) for r in range(50)] + [(2, r, 0.1 * r) for r in range(5)]
+    hits = spark.createDataFrame(rows, "l long, r long, sim double")
+    got = sorted((r.l, r.r) for r in vectors.first_hits(hits, 70).collect())
+    assert got == sorted([(1, 100 + r) for r in range(1, 50)] + [(1, r) for r in range(21)] + [(2, r) for r in range(5)])
