@@ -339,3 +339,17 @@ def test_first_hits_of_bands(spark):
     hits = spark.createDataFrame(rows, "l long, r long, sim double")
     got = sorted((r.l, r.r) for r in vectors.first_hits(hits, 70).collect())
     assert got == sorted([(1, 100 + r) for r in range(1, 50)] + [(1, r) for r in range(21)] + [(2, r) for r in range(5)])
+
+
+def test_pairs_of_texts_are_not_shuffled(spark):
+    """Every pair of texts that share an item, its number of shared items as counted pair by pair, from rows in number of the texts."""
+    texts = [(f"p{i}", f"text {i:03}") for i in range(300)]
+    items = {i: {k for k in range(4) if i % 7 > k or i % (k + 5) == 0} for i in range(300)}
+    edges = spark.createDataFrame(texts, "arxiv_id string, text string")
+    other = spark.createDataFrame([(f"p{i}", f"m{k}") for i, found in items.items() for k in found], "arxiv_id string, name string")
+    out = graph.texts_sharing(edges, other, "name", block=16)
+    got = sorted((r.text, r.other_text, r.shared) for r in out.collect())
+    want = [(texts[i][1], texts[j][1], len(items[i] & items[j])) for i in range(300) for j in range(i + 1, 300) if items[i] & items[j]]
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and len(want) > 10_000
