@@ -51,10 +51,15 @@ def plan_batch(stubs: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``status``: ``skipped`` for stored ids, ``duplicate`` for repeats within the batch, else ``new``."""
     # Written: the order of the rows is taken once, as the plan is read several times.
     rows = written(stubs.withColumn("__at", F.monotonically_increasing_id()), "batch")
+    return _with_status(rows, stored).drop("__at")
+
+
+def _with_status(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """``status`` of rows that are in the order of ``__at``."""
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("arxiv_id").orderBy("__at")))
     known = stored.select("arxiv_id").distinct().withColumn("__known", F.lit(True))
     status = F.when(F.col("__known"), "skipped").when(F.col("__n") > 1, "duplicate").otherwise("new")
-    return rows.join(known, "arxiv_id", "left").withColumn("status", status).drop("__at", "__n", "__known")
+    return rows.join(known, "arxiv_id", "left").withColumn("status", status).drop("__n", "__known")
 
 
 def summary(outcomes: DataFrame) -> DataFrame:
@@ -81,20 +86,26 @@ def ingest(
         if t.seen:
             return summary(store.spark.createDataFrame([], "status string"))
         batch = stubs.withColumn("arxiv_id", F.regexp_replace("arxiv_id", r"(?U)^\s+|\s+\z", ""))
-        batch = written(batch, "stubs")
-        stored = t.read("papers", batch) if mode == "insert" else t.read("papers").limit(0)
-        batch = written(plan_batch(batch, stored), "planned")
-        new = batch.where("status = 'new'")
-        if "error" not in batch.columns:
+        # Texts are written once, here; what comes of a paper is decided on ids and kept without them.
+        stubs = written(batch.withColumn("__at", F.monotonically_increasing_id()), "stubs")
+        ids = stubs.select("arxiv_id", "__at")
+        stored = t.read("papers", ids) if mode == "insert" else t.read("papers").limit(0)
+        batch = written(_with_status(ids, stored), "planned")
+        is_new = F.col("status") == "new"
+        n = batch.agg(F.count_if(is_new).alias("new"), F.count_if(~is_new).alias("old")).first()
+        # Joined to the shorter list: where it is short enough to be broadcast, texts are not shuffled.
+        new = stubs.join(batch.where(is_new).select("__at"), "__at", "left_semi") if n["new"] < n["old"] else stubs.join(batch.where(~is_new).select("__at"), "__at", "left_anti")
+        if "error" not in stubs.columns:
             new = new.withColumn("error", F.lit(None).cast("string"))
         lost = new.where("error is not null").select(F.current_timestamp().alias("ts"), "arxiv_id", F.lit("fetch").alias("stage"), F.col("error").alias("reason"), F.lit(None).cast("string").alias("raw"))
         done = extract(new.where("error is null"), extractor).withColumn("at", F.current_timestamp())
-        done = written(done, "extracted")
+        raw = F.when(F.col("reason").isNotNull(), F.substring("response", 1, RAW_KEPT)).alias("raw")
+        done = written(done.select("arxiv_id", "title", "year", *LIST_FIELDS, "raw_json", "at", "extraction_tier", "reason", raw), "extracted")
         rows = done.where("reason is null").select(
             "arxiv_id", "title", F.coalesce("year", F.lit(0)).cast("int").alias("year"), F.lit(domain).alias("domain"), *LIST_FIELDS, "raw_json",
             F.col("at").alias("ingested_at"), "extraction_tier",
         )
-        bad = done.where("reason is not null").select(F.col("at").alias("ts"), "arxiv_id", F.lit("extraction").alias("stage"), "reason", F.substring("response", 1, RAW_KEPT).alias("raw"))
+        bad = done.where("reason is not null").select(F.col("at").alias("ts"), "arxiv_id", F.lit("extraction").alias("stage"), "reason", "raw")
         twice = batch.where("status = 'duplicate'").select(F.current_timestamp().alias("ts"), "arxiv_id", F.lit("batch").alias("stage"), F.lit("duplicate").alias("reason"), F.lit(None).cast("string").alias("raw"))
         status = done.select(F.when(F.col("reason").isNull(), "ingested").otherwise("failed").alias("status")).unionByName(batch.where("status <> 'new'").select("status"))
         out = written(summary(status.unionByName(lost.select(F.lit("failed").alias("status")))), "summary")

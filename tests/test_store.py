@@ -199,3 +199,23 @@ def test_scratch_of_one_thread_leaves_tables_of_others(spark):
     for gone in (mine, inner):
         with pytest.raises(Exception, match="NOT_EXIST|does not exist"):
             gone.count()
+
+
+def test_texts_of_a_batch_are_written_once(spark, tmp_path, monkeypatch):
+    """Repeats and stored papers included; the rest of a batch is decided on ids."""
+    made, put = [], shared.written
+
+    def seen(df, label):
+        made.append((label, set(df.columns)))
+        return put(df, label)
+
+    monkeypatch.setattr(ingest, "written", seen)
+    kept = Store(spark, f"file://{tmp_path}/s")
+    ingest.ingest(kept, stubs(spark, "1", "2"), ingest.stub_extractor())
+    for ids in (("1", "2", "3", "3"), ("1", "4", "5", "6")):
+        made.clear()
+        got = ingest.ingest(kept, stubs(spark, *ids), ingest.stub_extractor()).first()
+        assert tuple(got) == ((1, 2, 1) if ids[-1] == "3" else (3, 1, 0))
+        assert [label for label, columns in made if columns & {"abstract", "pages", "response"}] == ["stubs"]
+    assert sorted(r.arxiv_id for r in kept.read("papers").collect()) == list("123456")
+    assert kept.read("failures").select("arxiv_id", "reason").collect() == [("3", "duplicate")]
