@@ -334,6 +334,22 @@ def test_clusters_ask_for_hits_of_few_candidates(spark, t, limit, monkeypatch):
     assert len(asked) > 1 and sum(n for n, _ in asked) < 400 and sum(n for _, n in asked) < sum(map(len, hit.values())) / 2
 
 
+def test_ranking_makes_no_pairs_of_all_texts(spark, monkeypatch):
+    """Hits come from candidates in rank order; pairs of all texts grow with their square and are for the plain rule alone."""
+
+    def refuse(self):
+        raise AssertionError("pairs of all texts")
+
+    monkeypatch.setattr(scoring.Gaps, "pairs", property(refuse))
+    rng = np.random.default_rng(3)
+    vec = spark.createDataFrame([(f"text {i:02}", [float(x) for x in rng.standard_normal(8)]) for i in range(40)], "text string, embedding array<double>")
+    points = vec.select(F.lit("limitations").alias("collection"), "text", F.lit("cv").alias("domain"), "embedding")
+    edges = vec.select(F.lit("p").alias("arxiv_id"), "text", F.lit("explicit").alias("tier"))
+    papers = spark.createDataFrame([("p", 2020, "cv")], "arxiv_id string, year int, domain string")
+    got = scoring.Gaps(papers, edges, points, "cv", 0.3, 0.3)
+    assert scoring.listed(got.ranking(100)).count() == got.clusters.select("seed").distinct().count()
+
+
 def test_first_hits_of_bands(spark):
     rows = [(1, r, 0.5) for r in range(50)] + [(1, 100 + r, 0.5 + r / 1000) for r in range(50)] + [(2, r, 0.1 * r) for r in range(5)]
     hits = spark.createDataFrame(rows, "l long, r long, sim double")
