@@ -369,3 +369,22 @@ def test_pairs_of_texts_are_not_shuffled(spark):
     assert got == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and len(want) > 10_000
+
+
+def test_texts_that_share_an_item_are_sent_a_bounded_number_of_times(spark):
+    """Three thousand texts of one kind in blocks of 16: rows written to the shuffle follow the texts, not their number of blocks."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def sent() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    n = 3000
+    edges = spark.range(n).select(F.lit("p").alias("arxiv_id"), F.format_string("text %04d", "id").alias("text"))
+    other = spark.createDataFrame([("p", "m")], "arxiv_id string, name string")
+    out, was = graph.texts_sharing(edges, other, "name", block=16), sent()
+    met = out.agg(F.count("*").alias("n"), F.countDistinct(F.col("text")).alias("texts"), F.sum((F.col("text") >= F.col("other_text")).cast("int")).alias("wrong")).first()
+    assert (met["n"], met["texts"], met["wrong"]) == (n * (n - 1) // 2, n - 1, 0)
+    assert sent() - was < 2 * (graph.MOST_PARTS + 2) * n
