@@ -28,6 +28,8 @@ THRESHOLD = 0.3
 SHARPNESS = 8
 #: Bytes of text made into features at once.
 _PIECE = 1 << 20
+#: Rows of the sample that are weighted at once.
+_BLOCK = 256
 _STYLES = 6
 
 
@@ -80,8 +82,12 @@ class Model:
         self.neighbours = neighbours
         self.prior = float(y.mean()) if len(y) else 0.5
         self.labels = y.astype(np.float32)
-        self.idf = (np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(axis=0))) + 1).astype(np.float32)
-        m = self._weighted(x)
+        # Block by block: of the features one further copy is held, as this runs on the driver.
+        has = sum(((x[i : i + _BLOCK, :TERMS] > 0).sum(axis=0) for i in range(0, len(x), _BLOCK)), np.zeros(TERMS, np.int64))
+        self.idf = (np.log((1 + len(x)) / (1 + has)) + 1).astype(np.float32)
+        m = np.empty((len(x), TERMS + _STYLES), np.float32)
+        for i in range(0, len(x), _BLOCK):
+            m[i : i + _BLOCK] = self._weighted(x[i : i + _BLOCK].astype(np.float32))
         k = min(dimensions, *m.shape) if len(m) else 0
         draw = np.random.default_rng(5).standard_normal((m.shape[1], min(k + 16, m.shape[1]))).astype(np.float32)
         q = m @ draw
@@ -139,12 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.concatenate([features(p) for p in _pieces(v.as_py() for v in b.column(1))])
+            x = np.concatenate([np.zeros((0, TERMS + _STYLES), np.float32), *map(features, _pieces(v.as_py() for v in b.column(1)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary()), b.column(2)], ["d", "x", "y"])
 
-    found = sorted(rows.mapInArrow(run, "d long, x binary, y int").collect(), key=lambda r: r["d"])
-    x = np.array([np.frombuffer(r["x"], "<f2") for r in found], np.float32).reshape(len(found), TERMS + _STYLES)
-    return Model(x, np.array([r["y"] for r in found], np.float32))
+    found = rows.mapInArrow(run, "d long, x binary, y int").toArrow().sort_by("d").combine_chunks()
+    # Halves of floats as they came, a few bytes a value: the model makes floats of them.
+    x = np.concatenate([np.zeros(0, "<f2"), *(np.frombuffer(v.as_buffer(), "<f2") for v in found.column("x"))]).reshape(-1, TERMS + _STYLES)
+    return Model(x, found.column("y").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -60,3 +61,22 @@ def test_query_equals_sql(spark, name):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
     want = con.sql(f"SELECT {', '.join(cols)} FROM ({registry.ORACLES[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+def test_the_fit_holds_one_copy_of_its_features(spark):
+    """The classifier is fitted on the driver: beside what came from Spark it holds little more than one weighted copy. Equal to the fit in one block."""
+    import tracemalloc
+
+    from litloom.llm import knn_quality
+
+    rng = np.random.default_rng(1)
+    x = np.log1p(rng.poisson(0.3, (1500, knn_quality.TERMS + knn_quality._STYLES))).astype("<f2")
+    y = (rng.random(len(x)) < 0.5).astype(np.float32)
+    tracemalloc.start()
+    model = knn_quality.Model(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * x.size
+    whole = (x > 0).sum(axis=0)[: knn_quality.TERMS]
+    assert np.array_equal(model.idf, (np.log((1 + len(x)) / (1 + whole)) + 1).astype(np.float32))
+    assert np.array_equal(model.voters, model._unit(model._weighted(x.astype(np.float32)) @ model.basis))
